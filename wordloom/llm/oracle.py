@@ -35,7 +35,7 @@ bare as (
 named as (
   select distinct file, ord, frequency,
     rtrim(lower(regexp_replace(w || chr(1), '(\p{L}\p{M}*)Σ([^\p{L}\p{M}])', '\1ς\2', 'g')), chr(1)) as term
-  from terms),
+  from bare),
 per_file as (select substr(file, 1, 3) as lang, file, term, sum(frequency) as total from named group by file, term),
 lang_files as (select lang, count(distinct file) as lang_files from per_file group by lang),
 counted as (select lang, term, sum(total)::bigint as total, count(*)::bigint as files from per_file group by lang, term),

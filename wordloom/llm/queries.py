@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import cutoff, encoding_repair, format_copies, plain_text, terms
+from wordloom.llm import cutoff, encoding_repair, format_copies, packing, plain_text, spans, terms, tokens
 from wordloom.sources.tables import table
 
 
@@ -46,4 +46,20 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.copy_counts(table(spark, d, "raw_freq"), table(spark, d, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p4_found, p4_plain, p5_found, p5_counts, p6_found, p6_counts)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(table(spark, d, "documents"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_characters(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p4_found, p4_plain, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p8_containers, p9_found, p9_shared)}

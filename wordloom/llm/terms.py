@@ -24,20 +24,21 @@ _EDGES = r"\A[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+\z"
 
 
 def term_of(word: Column) -> Column:
-    """The word between its first and last letter, mark or digit, in lower case; null without a letter."""
+    """The word between its first and last letter, mark or digit, in lower case."""
     # most words are bare already and skip the replacement
     # (\z, not $: the latter also stands before a final line separator)
     bare = F.when(word.rlike(r"(?s)\A[\p{L}\p{M}\p{N}].*[\p{L}\p{M}\p{N}]\z"), word).otherwise(F.regexp_replace(word, _EDGES, ""))
-    return F.when(word.rlike(r"\p{L}"), F.lower(bare))
+    return F.lower(bare)
+
+
+def counted_lines(raw_freq: DataFrame) -> DataFrame:
+    """The lines that count: with a letter in the word and a frequency of 1 or more."""
+    return raw_freq.filter(F.col("file").isNotNull() & (F.col("frequency") >= 1) & F.col("word").rlike(r"\p{L}"))
 
 
 def file_terms(raw_freq: DataFrame) -> DataFrame:
     """(lang, file, term, total): frequencies of the distinct lines of each file by term."""
-    lines = (
-        raw_freq.filter(F.col("word").isNotNull() & F.col("file").isNotNull() & (F.col("frequency") >= 1))
-        .select("file", "ord", term_of(F.col("word")).alias("term"), "frequency")
-        .filter(F.col("term").isNotNull())
-    )
+    lines = counted_lines(raw_freq).select("file", "ord", term_of(F.col("word")).alias("term"), "frequency")
     return (
         # hashed on (file, term): the rows of one line stay together, a large file is spread
         lines.repartition("file", "term")
@@ -101,7 +102,8 @@ def marked_terms(raw_freq: DataFrame, rare_total: int = 2, common_pct: int = 60)
     least ``common_pct`` per cent of the language's files that have a counted term.
     """
     per_file = file_terms(raw_freq)
-    files = per_file.select("lang", "file").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("lang_files"))
+    # straight from the scan: its own narrow pass is cheaper than a second shuffle of the lines
+    files = counted_lines(raw_freq).select(F.substring("file", 1, 3).alias("lang"), "file").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("lang_files"))
     mark = F.when((F.col("files") == 1) & (F.col("total") <= rare_total), "rare").when(
         (F.col("files") >= 2) & (F.col("files") * 100 >= F.col("lang_files") * common_pct), "common"
     )
