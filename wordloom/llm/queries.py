@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import cutoff, encoding_repair, format_copies, packing, plain_text, spans, terms, tokens
+from wordloom.llm import cutoff, encoding_repair, format_copies, names, packing, plain_text, spans, terms, tokens
 from wordloom.sources.tables import table
 
 
@@ -22,6 +22,19 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding_repair.repaired_rows(table(spark, d, "raw_freq"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    typed = names.typed_names(table(spark, d, "lepzig_shortcuts"), table(spark, d, "ud_language_mapping"))
+    return names.match_names(typed, table(spark, d, "languages"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).filter(F.col("iso_code").isNotNull()).select("tbl", "entry_id", "iso_code")
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return names.unmatched_names(_names(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return plain_text.disguised_rows(table(spark, d, "raw_freq"), table(spark, d, "segmented"))
 
@@ -62,4 +75,4 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_characters(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p4_found, p4_plain, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p8_containers, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_found, p3_unmatched, p4_found, p4_plain, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p8_containers, p9_found, p9_shared)}
