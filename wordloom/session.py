@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_wordloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="wordloom-package-"), "wordloom.zip")
+    with zipfile.ZipFile(archive, "w") as target:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.join("wordloom", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._wordloom_shipped = True
