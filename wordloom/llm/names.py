@@ -123,6 +123,15 @@ class Names:
         for form in self.forms:
             for pair in self._pairs(form):
                 self.pairs[pair].append(form)
+        # whole names run together, for values whose blanks are displaced or whose area word is misspelt
+        self.whole: dict[str, str] = {}
+        self.whole_pairs: dict[str, list[str]] = defaultdict(list)
+        for (base, area), code in self.by_base.items():
+            for words in ((area, base), (base, area)):
+                self.whole.setdefault("".join(words).replace(" ", ""), code)
+        for name in self.whole:
+            for pair in self._pairs(name):
+                self.whole_pairs[pair].append(name)
 
     def _area_words(self, area: str) -> list[str]:
         words = {area, *(w for w, a in OTHER_WORDS.items() if a == area), *(f"{w}." for w, a in OTHER_WORDS.items() if a == area)}
@@ -228,8 +237,28 @@ class Names:
             near = self.similar(words, area, code)
             if near is not None and (best is None or near[0] < best[0]):
                 best = near
+            if near is None and not area:
+                near = self.similar_whole("".join(words).replace(".", ""), code)
+                if near is not None and (best is None or near[0] < best[0]):
+                    best = near
         return best[1] if best else None
 
+    def similar_whole(self, text: str, code: str | None) -> tuple[int, str] | None:
+        """(edits, entry) of the nearest whole name without its blanks."""
+        if not 6 <= len(text) <= 80:
+            return None
+        most = near_enough(len(text))
+        own = self._pairs(text)
+        shared: Counter[str] = Counter()
+        for pair in own:
+            shared.update(self.whole_pairs.get(pair, ()))
+        best: tuple | None = None
+        for name, n in shared.items():
+            if n >= len(own) - 3 * most - 1 and (d := edits(text, name, most)) <= most:
+                key = (d, self.whole[name] != code, self.whole[name])
+                best = key if best is None else min(best, key)
+        return (best[0], best[-1]) if best else None
+
     def _without_areas(self, text: str, area: str) -> list[str]:
         if not area:
             return text.split()

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import cutoff, encoding_repair, format_copies, names, packing, plain_text, spans, terms, tokens
-from wordloom.sources.tables import table
+from wordloom.session import ship_package
+from wordloom.sources import tables
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship_package(spark)  # the operators run Python in the executors
+    return tables.table(spark, d, name)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
