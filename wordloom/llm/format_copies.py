@@ -33,7 +33,7 @@ _SEP = "\x1f"
 
 def bare(text: Column) -> Column:
     """Text without white space and punctuation, letter case ignored."""
-    return F.call_function("translate", F.lower(F.regexp_replace(text, r"[\p{P}\p{IsWhite_Space}]+", "")), F.lit("ς"), F.lit("σ"))
+    return F.replace(F.lower(F.regexp_replace(text, r"[\p{P}\p{IsWhite_Space}]+", "")), F.lit("ς"), F.lit("σ"))
 
 
 def word_keys(raw_freq: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 import re
 import unicodedata
 
+import regex
+
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 
 # Signs that stand for an ASCII sign.
@@ -76,18 +78,15 @@ def _compat(ch: str) -> str:
     return unicodedata.normalize("NFKC", ch)
 
 
+_RUN = regex.compile(r"[\p{L}\p{M}]+")
+
+
 def _runs(word: str) -> list[tuple[int, int]]:
     """The runs of letters and marks of a word."""
-    out, start = [], None
-    for i, ch in enumerate(word):
-        if unicodedata.category(ch)[0] in "LM":
-            start = i if start is None else start
-        elif start is not None:
-            out.append((start, i))
-            start = None
-    return out + ([(start, len(word))] if start is not None else [])
+    return [m.span() for m in _RUN.finditer(word)]
 
 
+@functools.lru_cache(maxsize=65536)
 def _needs_work(ch: str) -> bool:
     """The quick check: True for signs that are not stable by themselves."""
     if ch < "\x80":
@@ -131,10 +130,11 @@ def compose(word: str) -> str:
 class Language:
     """Script and usual letters of one language."""
 
-    __slots__ = ("code", "letters", "script")
+    __slots__ = ("code", "letters", "script", "strays")
 
     def __init__(self, code: str, script_name: str, letters: str) -> None:
         self.code, self.script, self.letters = code, script_name, frozenset(letters)
+        self.strays: dict[str, bool] = {}  # verdicts on signs
 
     def has(self, ch: str) -> bool:
         """A usual letter of the language, in either case, or an ASCII letter in a Latin list."""
@@ -279,7 +279,7 @@ _PLAIN_SIGNS = frozenset("«»")
 class Units:
     """What one chain makes of the letters of one language, and the way back."""
 
-    __slots__ = ("back", "chain", "pattern", "signs", "usual")
+    __slots__ = ("back", "chain", "pattern", "signs", "table", "usual")
 
     def __init__(self, chain: str, letters: str, own: str, others: str) -> None:
         back: dict[str, str] = {}
@@ -300,10 +300,14 @@ class Units:
         self.usual = self.signs | frozenset(plain) | _PLAIN_SIGNS
         units = "|".join(map(re.escape, sorted(back, key=len, reverse=True)))
         self.pattern = re.compile(units) if back else None
+        # one sign for each letter: no search is needed
+        self.table = str.maketrans(back) if back and all(len(unit) == 1 for unit in back) else None
 
-    def undo(self, word: str) -> tuple[str, int]:
-        """(word with the units replaced, number of units)."""
-        return self.pattern.subn(lambda m: self.back[m[0]], word)
+    def undo(self, word: str) -> str:
+        """The word with its units replaced."""
+        if self.table is not None:
+            return word.translate(self.table)
+        return self.pattern.sub(lambda m: self.back[m[0]], word)
 
 
 class Repair:
@@ -340,8 +344,8 @@ class Repair:
                 self._by_signs[signs] = fit
         found = []
         for units in fit:
-            restored, n = units.undo(word)
-            if n and all(ch < "\x80" or ch in self.fine for ch in restored):
+            restored = units.undo(word)
+            if restored != word and self.fine.issuperset(ch for ch in restored if ch >= "\x80"):
                 found.append((units.chain, restored))
         return found
 
@@ -349,27 +353,31 @@ class Repair:
 LOST = "\ufffd"
 
 
-def stray_signs(word: str, lang: Language, foreign: dict[str, frozenset[str]]) -> set[str]:
-    """Signs that belong neither to the language nor to foreign words, formatting or look-alike spelling."""
-    out = set()
-    for ch in set(word):
-        if ch < "\x80" or ch in _PLAIN_SIGNS or lang.has(ch):
-            continue
-        own = script(ch)
-        if own and own != lang.script and ch.lower() in foreign.get(own, ()):
-            continue
-        if own == "LATIN" and lang.script != "LATIN" and ch < "\x80":
-            continue
-        if INVISIBLE.match(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Zs") or ch in SIGNS:
-            continue
-        if own and look_alike(ch, lang.script) and own != lang.script:
-            continue
-        folded = unicodedata.normalize("NFKC", ch)
-        raised = unicodedata.decomposition(ch).startswith(("<super>", "<sub>"))
-        if folded != ch and unicodedata.category(ch)[0] in "LP" and not raised and all(lang.has(c) or c < "\x80" for c in folded):
-            continue
-        out.add(ch)
-    return out
+def is_stray(ch: str, lang: Language, foreign: dict[str, frozenset[str]]) -> bool:
+    """A sign that belongs neither to the language nor to foreign words, formatting or look-alike spelling."""
+    if ch < "\x80" or ch in _PLAIN_SIGNS or lang.has(ch):
+        return False
+    own = script(ch)
+    if own and own != lang.script and (ch.lower() in foreign.get(own, ()) or look_alike(ch, lang.script)):
+        return False
+    if INVISIBLE.match(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Zs") or ch in SIGNS:
+        return False
+    folded = unicodedata.normalize("NFKC", ch)
+    raised = unicodedata.decomposition(ch).startswith(("<super>", "<sub>"))
+    variant = folded != ch and unicodedata.category(ch)[0] in "LP" and not raised
+    return not (variant and all(lang.has(c) or c < "\x80" for c in folded))
+
+
+def has_stray(word: str, lang: Language, foreign: dict[str, frozenset[str]]) -> bool:
+    """Whether the word holds a stray sign; verdicts on signs are kept with the language."""
+    for ch in word:
+        if ch >= "\x80":
+            verdict = lang.strays.get(ch)
+            if verdict is None:
+                verdict = lang.strays[ch] = is_stray(ch, lang, foreign)
+            if verdict:
+                return True
+    return False
 
 
 def judge(
@@ -382,9 +390,9 @@ def judge(
     """
     if LOST in word:
         return True, None, 0.0
-    stray = stray_signs(word, lang, foreign)
-    ways = [r for _, r in repair.explanations(word) if one_script(r)]
-    best = max(ways, key=lambda r: pairs.score(r, lang, foreign=True)) if ways else None
+    stray = has_stray(word, lang, foreign)
+    ways = {r for _, r in repair.explanations(word) if one_script(r)}
+    best = max(sorted(ways), key=lambda r: pairs.score(r, lang, foreign=True)) if ways else None
     if stray:
         return True, best, 0.0
     plain, other = plain_form(word, lang, foreign)
