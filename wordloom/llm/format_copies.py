@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +151,10 @@ def copies(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     order = ["tbl", "file", "key", "id"]
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    scanned = checkpointed(keyed.select(*order).repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_scan, _SCAN))
+    # the keys are needed twice: for the bounds of the ranges and for the sort
+    keyed = keyed.select(*order).persist(StorageLevel.MEMORY_AND_DISK)
+    scanned = checkpointed(keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_scan, _SCAN))
+    keyed.unpersist()
     carried, last, rep = [], None, None
     for row in scanned.filter("id is null").select("part", "first", "last", "rep").orderBy("part").collect():  # one per range
         joins = row["first"] == last

@@ -298,8 +298,7 @@ class Units:
         self.signs = frozenset("".join(back))
         plain = own + own.upper() + others + others.upper() if chain.startswith("utf-8") else own + own.upper()
         self.usual = self.signs | frozenset(plain) | _PLAIN_SIGNS
-        units = "|".join(map(re.escape, sorted(back, key=len, reverse=True)))
-        self.pattern = re.compile(units) if back else None
+        self.pattern = None  # compiled when first needed
         # one sign for each letter: no search is needed
         self.table = str.maketrans(back) if back and all(len(unit) == 1 for unit in back) else None
 
@@ -307,6 +306,8 @@ class Units:
         """The word with its units replaced."""
         if self.table is not None:
             return word.translate(self.table)
+        if self.pattern is None:
+            self.pattern = re.compile("|".join(map(re.escape, sorted(self.back, key=len, reverse=True))))
         return self.pattern.sub(lambda m: self.back[m[0]], word)
 
 
@@ -326,7 +327,7 @@ class Repair:
                 continue
             units = Units(chain, own + others if chain.startswith("utf-8") else own, own, others)
             key = tuple(sorted(units.back.items()))
-            if units.pattern is not None and (allowed is not None or key not in seen):
+            if units.back and (allowed is not None or key not in seen):
                 seen.add(key)
                 self.units.append(units)
 
