@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.operators.frequency import ranked
 
-_F, _C = F.col("f").cast("double"), F.col("c").cast("double")
+def _f() -> Column:
+    return F.col("f").cast("double")
+
+
+def _c() -> Column:
+    return F.col("c").cast("double")
 
 
 def entropy(counts: Column) -> Column:
@@ -16,20 +23,20 @@ def entropy(counts: Column) -> Column:
 
 
 #: Metrics over rows (key, f: frequency, c: records, size: characters).
-METRICS: dict[str, Column] = {
-    "types": F.count(F.lit(1)),
-    "tokens": F.sum("f"),
-    "ttr": F.count(F.lit(1)) / F.sum(_F),
-    "hapax_count": F.count_if(F.col("c") == 1),
-    "hapax_ratio": F.count_if(F.col("c") == 1) / F.count(F.lit(1)),
-    "freq_hapax_count": F.count_if(F.col("f") == 1),
-    "freq_hapax_ratio": F.count_if(F.col("f") == 1) / F.count(F.lit(1)),
-    "mean_type_length": F.avg("size"),
-    "mean_token_length": F.sum(F.col("size") * _F) / F.sum(_F),
-    "entropy": entropy(_F),
-    "perplexity": F.pow(F.lit(2.0), entropy(_F)),
-    "type_entropy": entropy(_C),
-    "type_perplexity": F.pow(F.lit(2.0), entropy(_C)),
+METRICS: dict[str, Callable[[], Column]] = {
+    "types": lambda: F.count(F.lit(1)),
+    "tokens": lambda: F.sum("f"),
+    "ttr": lambda: F.count(F.lit(1)) / F.sum(_f()),
+    "hapax_count": lambda: F.count_if(F.col("c") == 1),
+    "hapax_ratio": lambda: F.count_if(F.col("c") == 1) / F.count(F.lit(1)),
+    "freq_hapax_count": lambda: F.count_if(F.col("f") == 1),
+    "freq_hapax_ratio": lambda: F.count_if(F.col("f") == 1) / F.count(F.lit(1)),
+    "mean_type_length": lambda: F.avg("size"),
+    "mean_token_length": lambda: F.sum(F.col("size") * _f()) / F.sum(_f()),
+    "entropy": lambda: entropy(_f()),
+    "perplexity": lambda: F.pow(F.lit(2.0), entropy(_f())),
+    "type_entropy": lambda: entropy(_c()),
+    "type_perplexity": lambda: F.pow(F.lit(2.0), entropy(_c())),
 }
 
 
@@ -44,7 +51,7 @@ def keyed_counts(rows: DataFrame, by: str, key: str, frequency: str = "frequency
 
 def metrics(counts: DataFrame, by: str, names: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
     """One row per group with the named metrics."""
-    return counts.filter(F.col("f") > 0).groupBy(by).agg(*(METRICS[n].alias(n) for n in names))
+    return counts.filter(F.col("f") > 0).groupBy(by).agg(*(METRICS[n]().alias(n) for n in names))
 
 
 def zipf_slope(words: DataFrame) -> DataFrame:

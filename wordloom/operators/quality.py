@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,16 +20,19 @@ def _pct(condition: Column) -> Column:
     return F.lit(100.0) * F.count_if(condition) / F.count(F.lit(1))
 
 
-_BAD = F.col("is_long") | F.col("is_foreign") | F.col("is_program")
+def _bad() -> Column:
+    return F.col("is_long") | F.col("is_foreign") | F.col("is_program")
+
+
 #: Checks over flagged words (word, frequency, size, is_long, is_foreign, is_program) of one file.
-CHECKS: dict[str, Column] = {
-    "foreign_script_pct": _pct(F.col("is_foreign")),
-    "long_outlier_pct": _pct(F.col("is_long")),
-    "punct_char_pct": F.coalesce(F.lit(100.0) * F.try_divide(F.sum(F.col("puncts") * F.col("frequency")), F.sum(F.col("size") * F.col("frequency"))), F.lit(0.0)),
-    "program_pct": _pct(F.col("is_program")),
-    "corrupted_pct": _pct(_BAD),
-    "corrupted_freq_pct": F.lit(100.0) * F.sum(F.when(_BAD, F.col("frequency")).otherwise(0)) / F.sum("frequency"),
-    "eng_stopwords": F.when(F.first("lang") == "eng", F.lit(0)).otherwise(F.count_distinct(F.when(F.lower("word").isin(*ENGLISH_WORDS), F.lower("word")))).cast("int"),
+CHECKS: dict[str, Callable[[], Column]] = {
+    "foreign_script_pct": lambda: _pct(F.col("is_foreign")),
+    "long_outlier_pct": lambda: _pct(F.col("is_long")),
+    "punct_char_pct": lambda: F.coalesce(F.lit(100.0) * F.try_divide(F.sum(F.col("puncts") * F.col("frequency")), F.sum(F.col("size") * F.col("frequency"))), F.lit(0.0)),
+    "program_pct": lambda: _pct(F.col("is_program")),
+    "corrupted_pct": lambda: _pct(_bad()),
+    "corrupted_freq_pct": lambda: F.lit(100.0) * F.sum(F.when(_bad(), F.col("frequency")).otherwise(0)) / F.sum("frequency"),
+    "eng_stopwords": lambda: F.when(F.first("lang") == "eng", F.lit(0)).otherwise(F.count_distinct(F.when(F.lower("word").isin(*ENGLISH_WORDS), F.lower("word")))).cast("int"),
 }
 
 
@@ -68,7 +73,7 @@ def quality(rows: DataFrame, scripts: DataFrame) -> DataFrame:
     words = flagged(rows, scripts)
     scored = words.groupBy("file").agg(
         F.first("lang").alias("lang"),
-        *(column.alias(name) for name, column in CHECKS.items()),
+        *(check().alias(name) for name, check in CHECKS.items()),
         F.first("long_threshold").alias("long_threshold"),
         F.count(F.lit(1)).alias("total_types"),
         F.sum("frequency").alias("total_frequency"),

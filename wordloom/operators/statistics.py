@@ -52,6 +52,11 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation of two columns; null where one is constant (corr fails there under ANSI)."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by, n, spearman): Pearson correlation of average ranks; null below three rows or for a constant."""
     whole = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -60,7 +65,7 @@ def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     places = whole.withColumn("rx", average_rank(x, *by)).withColumn("ry", average_rank(y, *by))
     n = F.count(F.lit(1))
     constant = (F.min("rx") == F.max("rx")) | (F.min("ry") == F.max("ry"))
-    out = places.groupBy(*by).agg(n.alias("n"), F.when((n >= 3) & ~constant, F.corr("rx", "ry")).alias("spearman"))
+    out = places.groupBy(*by).agg(n.alias("n"), F.when((n >= 3) & ~constant, pearson("rx", "ry")).alias("spearman"))
     return out.drop("all")
 
 

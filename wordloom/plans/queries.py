@@ -345,7 +345,7 @@ def a53_clustering(s: SparkSession, d: str) -> DataFrame:
 @query
 def a56_pearson(s: SparkSession, d: str) -> DataFrame:
     return _latest_quality(s, d).agg(
-        rounded(F.corr("corrupted_pct", "corrupted_freq_pct")).alias("corrupted"), rounded(F.corr("total_types", "total_frequency")).alias("sizes")
+        rounded(statistics.pearson("corrupted_pct", "corrupted_freq_pct")).alias("corrupted"), rounded(statistics.pearson("total_types", "total_frequency")).alias("sizes")
     )
 
 
