@@ -54,7 +54,8 @@ def average_rank(value: str, *by: str) -> Column:
 
 def pearson(x: str, y: str) -> Column:
     """Correlation of two columns; null where one is constant (corr fails there under ANSI)."""
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
