@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import SparkFiles, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,9 +222,20 @@ def pieces_of(text: Column) -> Column:
 
 
 def frequent_pieces(documents: DataFrame, size: int = LEXICON_SIZE) -> DataFrame:
-    """(piece, n): the most frequent pieces of all texts; equal counts in the order of the pieces."""
+    """(piece, n): the most frequent pieces of all texts, at most ``size``; pieces of about one count stay together.
+
+    The least count is found from the number of pieces per eighth of a power of two (a few hundred
+    rows), so that no task sends a list of its own to the driver.
+    """
     counted = documents.select(F.explode(pieces_of(F.col("text"))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(F.col("n").desc(), "piece").limit(size)
+    counted = counted.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 8)).persist(StorageLevel.MEMORY_AND_DISK)
+    least, taken = 1 << 20, 0
+    for row in sorted(counted.groupBy("step").agg(F.count(F.lit(1)).alias("pieces")).collect(), reverse=True):
+        taken += row.pieces
+        if taken > size:
+            break
+        least = row.step
+    return counted.filter(F.col("step") >= least).select("piece", "n")
 
 
 def share_array(spark: SparkSession, data: np.ndarray, name: str) -> str:
