@@ -74,3 +74,11 @@ def test_metrics(frame):
     even = mt.record_metrics(frame("lang string, word string, frequency bigint", [("b", w, 3) for w in "pqrs"])).collect()[0]
     assert math.isclose(even.entropy, 2.0)
     assert mt.zipf_slope(frame("lang string, word string, frequency bigint", [("c", "x", 3)])).collect()[0].zipf_slope is None
+
+
+def test_band_and_interpolated_tokens(frame):
+    words = frame("lang string, word string, frequency bigint", [("a", w, n) for w, n in (("p", 10), ("q", 4), ("r", 4), ("s", 4), ("t", 1))])
+    band = fq.cut_band(words, 70.0).collect()[0]
+    assert (band.last, band.needed, band.tied) == (4, 2, 3)
+    got = {r.share: r.tokens_upto for r in fq.tokens_at(words, 0.0, 0.5, 1.0).collect()}
+    assert got == {0.0: 10.0, 0.5: 10 + 1.5 * 4, 1.0: 23.0}

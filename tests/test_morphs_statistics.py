@@ -55,6 +55,20 @@ def test_elbow_and_suffix_slopes(frame):
     assert math.isclose(slopes[5.0], 10.0) and slopes[10.0] is None and slopes[9.0] is None
 
 
+def test_break_test_and_whiskers(frame):
+    bent = [("a", float(x), float(x if x <= 5 else 5 + 10 * (x - 5)) + 0.01 * (-1) ** x) for x in range(1, 11)]
+    straight = [("b", float(x), float(x) + 0.5 * (-1) ** (x // 2)) for x in range(1, 11)]
+    short = [("c", float(x), float(x)) for x in range(1, 4)]
+    got = {r.lang: r for r in stt.break_test(frame("lang string, x double, y double", bent + straight + short), "lang").collect()}
+    assert got["a"].x == 5.0 and got["a"].p < 1e-9 and got["b"].p > 0.01
+    assert got["c"].f is None and got["c"].p is None
+    # the tail of F(2, d) at f: for d = 6 and f = 5.1432528 it is 0.05 (tables)
+    assert math.isclose((1 + 2 * 5.1432528 / 6) ** -3, 0.05, rel_tol=1e-5)
+    box = stt.whiskers(frame("g string, v double", [("x", v) for v in (1.0, 2.0, 3.0, 4.0, 50.0, None)]), "v", "g").collect()[0]
+    assert (box.q1, box.q3, box.low, box.high, box.outside) == (2.0, 4.0, 1.0, 4.0, 1)
+    assert stt.whiskers(frame("g string, v double", []), "v", "g").count() == 0
+
+
 def test_segmenter(frame):
     words = lambda rows: frame("lang string, word string, frequency bigint", [("x", w, f) for w, f in rows])
     parts = lambda rows, seg=segment.every_two: {r.word: r.frequency for r in segment.segmented_words(words(rows), seg).collect()}

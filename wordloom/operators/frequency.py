@@ -158,23 +158,40 @@ def ranked(words: DataFrame) -> DataFrame:
     )
 
 
+def cut_band(words: DataFrame, level: float = 94.0) -> DataFrame:
+    """(lang, last, needed, tied, tokens): the frequency at which a level cuts a language, how many of its ``tied`` words are kept."""
+    keep = coverage(words, (level,)).select("lang", F.col("types").alias("keep"))
+    spec = cumulated(spectrum(words)).join(keep, "lang")
+    return spec.filter((F.col("types_upto") - F.col("n") < F.col("keep")) & (F.col("keep") <= F.col("types_upto"))).select(
+        "lang", F.col("frequency").alias("last"), (F.col("keep") - F.col("types_upto") + F.col("n")).alias("needed"), F.col("n").alias("tied"), "tokens"
+    )
+
+
+def tokens_at(words: DataFrame, *shares: float) -> DataFrame:
+    """(lang, share, tokens_upto): tokens down to a rank that is a share of the words, between ranks interpolated.
+
+    Inside a frequency the tokens grow evenly with the rank, so the spectrum is enough. Before the first rank its tokens hold.
+    """
+    spec = cumulated(spectrum(words)).withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    rank = F.greatest(F.lit(1.0), F.col("share") * F.col("types"))
+    before = F.col("types_upto") - F.col("n")
+    at = F.col("tokens_upto") - F.col("frequency") * F.col("n") + (rank - before) * F.col("frequency")
+    return spec.filter((rank > before) & (rank <= F.col("types_upto"))).select("lang", "share", at.alias("tokens_upto"))
+
+
 def truncated(words: DataFrame, level: float = 94.0, seed: int | None = None) -> DataFrame:
     """(lang, word, frequency, ppm): the most frequent words that cover a level.
 
     Of the words of the last frequency only as many are kept as needed: the first by word or, with a
     seed, a random choice that depends on word and seed alone. ppm is of the whole list.
     """
-    keep = coverage(words, (level,)).select("lang", F.col("types").alias("keep"))
-    spec = cumulated(spectrum(words)).join(keep, "lang")
-    band = spec.filter((F.col("types_upto") - F.col("n") < F.col("keep")) & (F.col("keep") <= F.col("types_upto"))).select(
-        "lang", F.col("frequency").alias("last"), (F.col("keep") - F.col("types_upto") + F.col("n")).alias("needed"), "tokens"
-    )
+    band = cut_band(words, level)
     if seed is None:
         order, head = F.col("word"), F.substring("word", 1, 2)
     else:
         order = F.xxhash64("word", F.lit(seed))
         head = F.shiftright(order, 54).cast("string")
-    above = words.join(band, "lang").filter(F.col("frequency") >= F.col("last")).withColumn("order", order).withColumn("head", head)
+    above = words.join(band.drop("tied"), "lang").filter(F.col("frequency") >= F.col("last")).withColumn("order", order).withColumn("head", head)
     tied = above.filter(F.col("frequency") == F.col("last"))
     by_head = Window.partitionBy("lang").orderBy(F.col("head").cast("bigint") if seed is not None else F.col("head")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tied.groupBy("lang", "head").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_head), F.lit(0)))

@@ -14,6 +14,15 @@ def described(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*columns)
 
 
+def whiskers(rows: DataFrame, value: str, by: str, factor: float = 1.5) -> DataFrame:
+    """(by, q1, q3, mean, low, high, outside): box plot of a column; whiskers end at the last values within the fences."""
+    box = rows.groupBy(by).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.avg(value).alias("mean"))
+    reach = F.lit(factor) * (F.col("q3") - F.col("q1"))
+    inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
+    kept = F.when(inside, F.col(value))
+    return rows.join(box, by).groupBy(by, "q1", "q3", "mean").agg(F.min(kept).alias("low"), F.max(kept).alias("high"), F.count_if(~inside).alias("outside"))
+
+
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, low, n) of equal bins; the last bin is closed on the right, values outside are left out."""
     width = (high - low) / bins
@@ -117,6 +126,21 @@ def elbow(points: DataFrame, *by: str) -> DataFrame:
     return best.select(*by, "b.x", "b.sse")
 
 
+def break_test(points: DataFrame, by: str) -> DataFrame:
+    """(by, x, n, rss, sse, f, p): whether two fitted lines, parted at the elbow, fit better than one.
+
+    Two more parameters are fitted, and with two of them the upper tail of the F distribution is
+    (1 + 2 f / d) ** (-d / 2). Null for fewer than five points or a perfect fit.
+    """
+    one = points.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), (F.regr_syy("y", "x") - F.coalesce(F.try_divide(F.pow(F.regr_sxy("y", "x"), F.lit(2.0)), F.regr_sxx("y", "x")), F.lit(0.0))).alias("rss")
+    )
+    left = (F.col("n") - 4).cast("double")
+    f = F.try_divide((F.col("rss") - F.col("sse")) / 2 * left, F.col("sse"))
+    tested = elbow(points, by).join(one, by).withColumn("f", F.when((F.col("n") > 4) & (F.col("sse") > 0), f))
+    return tested.withColumn("p", F.pow(1 + F.try_divide(2 * F.col("f"), left), -left / 2))
+
+
 def sign_changes(points: DataFrame, value: str, *by: str) -> DataFrame:
     """Points at which a value has another sign than at the point before."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy("x"))

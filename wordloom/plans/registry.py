@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.plans.oracle import ORACLE
-from wordloom.plans.queries import QUERIES
+from wordloom.plans import comparisons, comparisons_sql, oracle, queries
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = queries.QUERIES | comparisons.QUERIES
+ORACLE = oracle.ORACLE | comparisons_sql.ORACLE
