@@ -354,6 +354,11 @@ class Repair:
 LOST = "\ufffd"
 
 
+def odd_capitals(word: str) -> bool:
+    """A capital right after a small letter, which a wrong table makes more often than a writer."""
+    return any(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
 def is_stray(ch: str, lang: Language, foreign: dict[str, frozenset[str]]) -> bool:
     """A sign that belongs neither to the language nor to foreign words, formatting or look-alike spelling."""
     if ch < "\x80" or ch in _PLAIN_SIGNS or lang.has(ch):
@@ -393,7 +398,7 @@ def judge(
         return True, None, 0.0
     stray = has_stray(word, lang, foreign)
     ways = {r for _, r in repair.explanations(word) if one_script(r)}
-    best = max(sorted(ways), key=lambda r: pairs.score(r, lang, foreign=True)) if ways else None
+    best = max(sorted(ways), key=lambda r: (not odd_capitals(r), pairs.score(r, lang, foreign=True))) if ways else None
     if stray:
         return True, best, 0.0
     plain, other = plain_form(word, lang, foreign)
