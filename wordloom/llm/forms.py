@@ -127,6 +127,25 @@ def compose(word: str) -> str:
     return unicodedata.normalize("NFC", "".join(out)) if len(out) > 2 else "".join(out)
 
 
+def _composable() -> str:
+    """Pattern of all texts that NFC changes by joining or ordering signs: two signs that compose, or marks in a row."""
+    bases: dict[str, str] = {}
+    for ch in map(chr, range(0x80, 0x20000)):
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.is_normalized("NFC", ch):
+            base, mark = (chr(int(part, 16)) for part in parts)
+            bases[mark] = bases.get(mark, "") + base
+    marks: dict[str, str] = {}  # marks that compose with the same signs
+    for mark, signs in bases.items():
+        marks[signs] = marks.get(signs, "") + mark
+    joined = "|".join(f"[{signs}][{after}]" for signs, after in marks.items())
+    # the second sign first: most places of a text fail there
+    return rf"[\p{{M}}\u1161-\u1175\u11a8-\u11c2](?<={joined}|\p{{M}}\p{{M}}|[\u1100-\u1112][\u1161-\u1175]|[\uac00-\ud7a3][\u11a8-\u11c2])"
+
+
+COMPOSABLE = _composable()
+
+
 class Language:
     """Script and usual letters of one language."""
 
