@@ -23,7 +23,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.encoding_repair import judge_words, lang_of, split_usual, study, vocabulary
+from wordloom.llm.encoding_repair import judge_words, lang_of, split_usual, study
 from wordloom.session import checkpointed
 
 #: The labels of the four fields of a raw line.
@@ -38,7 +38,7 @@ def bare(text: Column) -> Column:
 
 def word_keys(raw_freq: DataFrame) -> DataFrame:
     """(tbl, file, key, id): the key of each row is its frequency and bare word; rows of problems 2 and 4 are out."""
-    found, clean = study(vocabulary(raw_freq))
+    found, clean = study(raw_freq)
     rows = raw_freq.filter(F.col("word").isNotNull() & F.col("file").isNotNull() & F.col("frequency").isNotNull()).select(
         F.col("row_id").alias("id"), "file", lang_of().alias("lang"), "frequency", "word"
     )
