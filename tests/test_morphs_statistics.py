@@ -83,6 +83,11 @@ def test_compression_is_repeatable(frame):
     assert one == two and one[0].zip_size < one[0].bin_size
 
 
+def test_compression_has_six_runs(frame):
+    words = frame("lang string, word string, frequency bigint", [("fra", "bade", 5), ("fra", "gode", 3)])
+    assert sorted(r.run for r in compression(words, sample=20).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_joins(frame):
     base = frame("lang string, n int", [("a", 1), ("b", 2)])
     other = frame("lang string, n int", [("a", 5)])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Tokens drawn for one run; a group never holds more rows than this.
 SAMPLE = 20_000
+#: Runs that are averaged.
+RUNS = 6
 
 
 def characters(words: DataFrame) -> DataFrame:
@@ -32,7 +34,7 @@ def drawn_tokens(words: DataFrame, runs: int, sample: int = SAMPLE, seed: int =
     return each.select("lang", "run", "word", times.alias("times")).filter("times > 0")
 
 
-def compression(words: DataFrame, runs: int = 2, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+def compression(words: DataFrame, runs: int = RUNS, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """(lang, run, unique_chars, tokens, bin_size, zip_size, rand_zip_size, ratio, reduction_pct)."""
     out = "lang string, run int, unique_chars int, tokens int, bin_size int, zip_size int, rand_zip_size int, ratio double, reduction_pct double"
 
