@@ -23,7 +23,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.encoding_repair import judge_words, lang_of, split_usual, study
+from wordloom.llm.encoding_repair import judged_words, lang_of, split_usual
 from wordloom.session import checkpointed
 
 #: The labels of the four fields of a raw line.
@@ -38,12 +38,12 @@ def bare(text: Column) -> Column:
 
 def word_keys(raw_freq: DataFrame) -> DataFrame:
     """(tbl, file, key, id): the key of each row is its frequency and bare word; rows of problems 2 and 4 are out."""
-    found, clean = study(raw_freq)
+    _, frame, verdicts = judged_words(raw_freq)
     rows = raw_freq.filter(F.col("word").isNotNull() & F.col("file").isNotNull() & F.col("frequency").isNotNull()).select(
         F.col("row_id").alias("id"), "file", lang_of().alias("lang"), "frequency", "word"
     )
-    usual, odd = split_usual(rows, found.frame(raw_freq))
-    kept = judge_words(odd, found, clean=clean).filter(F.col("kind").isNull()).drop("kind", "fixed")
+    usual, odd = split_usual(rows, frame)
+    kept = odd.join(verdicts.filter(F.col("kind").isNotNull()).select("lang", "word"), ["lang", "word"], "left_anti")
     return (
         usual.select("id", "file", "frequency", "word")
         .unionByName(kept.select("id", "file", "frequency", "word"))

@@ -10,6 +10,7 @@ import functools
 import math
 import re
 import unicodedata
+import zlib
 
 import regex
 
@@ -52,6 +53,11 @@ def script(ch: str) -> str | None:
     return name.split(" ", 1)[0]
 
 
+def is_letter(ch: str) -> bool:
+    """A letter or mark that is stable under normalisation."""
+    return unicodedata.category(ch)[0] in "LM" and unicodedata.is_normalized("NFKC", ch) and not INVISIBLE.match(ch)
+
+
 def look_alike(ch: str, to: str) -> str | None:
     """The letter of script ``to`` that looks like ``ch``; None if there is none."""
     own = script(ch)
@@ -215,27 +221,48 @@ def one_script(word: str) -> bool:
     return all(len({s for s in map(script, word[a:b]) if s}) <= 1 for a, b in _runs(word))
 
 
+#: Letter pairs are counted in so many buckets for each language, whatever its script.
+BUCKETS = 1 << 18
+
+
+def bucket(pair: str) -> int:
+    return zlib.crc32(pair.encode()) % BUCKETS
+
+
 class Pairs:
     """How usual the letter pairs of a word are in a language: mean log probability of a pair."""
 
     def __init__(self, counts: dict[str, dict[str, int]], script_of: dict[str, str]) -> None:
-        self.by_lang = {}
-        self.langs: dict[str, list[str]] = {}
+        """``counts``: code -> letter pair -> number of places."""
+        both: dict[str, tuple[dict[int, int], dict[str, int]]] = {}
         for code, pairs in counts.items():
-            first: dict[str, int] = {}
+            buckets, first = both.setdefault(code, ({}, {}))
             for pair, n in pairs.items():
+                buckets[bucket(pair)] = buckets.get(bucket(pair), 0) + n
                 first[pair[0]] = first.get(pair[0], 0) + n
-            size = len(first) + 2
-            table = {pair: math.log((n + 0.5) / (first[pair[0]] + 0.5 * size)) for pair, n in pairs.items()}
-            unseen = {ch: math.log(0.5 / (n + 0.5 * size)) for ch, n in first.items()}
-            self.by_lang[code] = (table, unseen)
+        self._set(both, script_of)
+
+    @classmethod
+    def from_buckets(cls, counts: dict[str, tuple[dict[int, int], dict[str, int]]], script_of: dict[str, str]) -> Pairs:
+        """``counts``: code -> (bucket of a pair -> number of places, first letter -> number of places)."""
+        self = cls.__new__(cls)
+        self._set(counts, script_of)
+        return self
+
+    def _set(self, counts: dict[str, tuple[dict[int, int], dict[str, int]]], script_of: dict[str, str]) -> None:
+        self.by_lang = counts
+        self.langs: dict[str, list[str]] = {}
+        for code in counts:
             self.langs.setdefault(script_of.get(code, ""), []).append(code)
 
     def run_score(self, run: str, code: str) -> float:
-        table, unseen = self.by_lang.get(code, ({}, {}))
-        text = f"^{run.lower()}$"
-        pairs = [text[i : i + 2] for i in range(len(text) - 1)]
-        return sum(table.get(p, unseen.get(p[0], -9.0)) for p in pairs) / len(pairs)
+        buckets, first = self.by_lang.get(code, ({}, {}))
+        text, size = f"^{run.lower()}$", len(first) + 2
+        total = 0.0
+        for i in range(len(text) - 1):
+            n = first.get(text[i])
+            total += math.log((buckets.get(bucket(text[i : i + 2]), 0) + 0.5) / (n + 0.5 * size)) if n else -9.0
+        return total / (len(text) - 1)
 
     def score(self, word: str, lang: Language, foreign: bool = False) -> float:
         """Mean over the runs of letters. ``foreign``: runs in another script count by their best language."""
@@ -291,6 +318,67 @@ def chains(script_name: str) -> tuple[str, ...]:
     return (*simple, *single, *double)
 
 
+#: The transformation of learned substitutions that no chain makes.
+UNNAMED = "learned"
+
+
+@functools.lru_cache(maxsize=None)
+def _made_of(letter: str, script_name: str) -> dict[str, frozenset[str]]:
+    """What a letter, in either case, is shown as -> the chains that show it so."""
+    made: dict[str, set[str]] = {}
+    for chain in chains(script_name):
+        for form in dict.fromkeys((letter, letter.upper())):
+            shown = garble(form, chain) if len(form) == 1 else None
+            if shown:
+                for unit in (shown, shown.lower()):
+                    made.setdefault(unit, set()).add(chain)
+    return {unit: frozenset(names) for unit, names in made.items()}
+
+
+def chains_of(unit: str, letter: str, script_name: str) -> frozenset[str]:
+    """The chains that show a letter as this unit."""
+    return _made_of(letter, script_name).get(unit, frozenset())
+
+
+def common_chains(pairs: list[tuple[str, str]], script_name: str) -> list[str]:
+    """The chains that make all of the substitutions, in order."""
+    common: frozenset[str] | None = None
+    for unit, letter in pairs:
+        names = chains_of(unit, letter, script_name)
+        common = names if common is None else common & names
+        if not common:
+            return []
+    return sorted(common or ())
+
+
+def substituted(wrong: list[str], right: list[str]) -> list[tuple[str, str]]:
+    """The different (unit, letter) in which aligned stretches differ; none where a stretch can't be split evenly."""
+    pairs: dict[tuple[str, str], None] = {}
+    for unit, letters in zip(wrong, right, strict=True):
+        if unit.lower() == letters or compose(unit).lower() == letters:
+            continue
+        width, rest = divmod(len(unit), len(letters))
+        if rest or not width:
+            return []
+        for i, letter in enumerate(letters):
+            part = unit[i * width : (i + 1) * width]
+            if part.lower() != letter:
+                pairs[part, letter] = None
+    return list(pairs)
+
+
+def shown_in_script(chain: str, letters: str, script_name: str) -> bool:
+    """Whether a chain shows most letters of a script as other letters of it."""
+    shown = [garble(ch, chain) or "" for ch in letters] if chain != UNNAMED and not chain.startswith("utf-8") else []
+    return any(shown) and sum(script(s) == script_name for s in shown if len(s) == 1) > len(shown) / 2
+
+
+def looks_so(unit: str, script_name: str) -> bool:
+    """Whether a unit may be other spelling of something plain, or is all letters of the script."""
+    own = all(script(ch) == script_name for ch in unit)
+    return own or compose(unit) != unit or (len(unit) == 1 and look_alike(unit, script_name) is not None)
+
+
 #: Signs of plain text besides letters and ASCII: guillemets as quotation marks.
 _PLAIN_SIGNS = frozenset("«»")
 
@@ -300,10 +388,13 @@ class Units:
 
     __slots__ = ("back", "chain", "pattern", "signs", "table", "usual")
 
-    def __init__(self, chain: str, letters: str, own: str, others: str) -> None:
+    def __init__(self, chain: str, letters: str, own: str, others: str, strange: frozenset[tuple[str, str]] = frozenset()) -> None:
         back: dict[str, str] = {}
         lowered: dict[str, str] = {}
-        for ch in letters:
+        for unit, letter in sorted(strange) if chain == UNNAMED else ():
+            back.setdefault(unit, letter)
+            lowered.setdefault(unit.lower(), letter)
+        for ch in letters if chain != UNNAMED else "":
             for form in dict.fromkeys((ch, ch.upper())):
                 if len(form) != 1:
                     continue
@@ -331,24 +422,31 @@ class Units:
 
 
 class Repair:
-    """The unit tables of one language; ``allowed`` keeps only these chains."""
+    """The unit tables of one language's transformations ``kept``; ``strange``: the substitutions of the unnamed one."""
 
-    def __init__(self, lang: Language, foreign: dict[str, frozenset[str]], allowed: frozenset[str] | None = None) -> None:
+    def __init__(self, lang: Language, foreign: dict[str, frozenset[str]], kept: frozenset[str], strange: frozenset[tuple[str, str]] = frozenset()) -> None:
         own = "".join(sorted(lang.letters))
         # foreign words may stand in a list that went through UTF-8
         others = "".join(sorted(ch for s, known in foreign.items() if s != lang.script for ch in known if ch >= "\x80"))
         self.fine = frozenset(own + own.upper() + others + others.upper()) | _PLAIN_SIGNS
         self.units: list[Units] = []
         self._by_signs: dict[frozenset[str], list[Units]] = {}
-        seen = set()
-        for chain in chains(lang.script):
-            if allowed is not None and chain not in allowed:
-                continue
-            units = Units(chain, own + others if chain.startswith("utf-8") else own, own, others)
-            key = tuple(sorted(units.back.items()))
-            if units.back and (allowed is not None or key not in seen):
-                seen.add(key)
-                self.units.append(units)
+        for chain in (*chains(lang.script), UNNAMED):
+            if chain in kept:
+                units = Units(chain, own + others if chain.startswith("utf-8") else own, own, others, strange)
+                if units.back:
+                    self.units.append(units)
+        seen = {unit for u in self.units for unit in u.back}
+        self._seen = re.compile("|".join(map(re.escape, sorted(seen, key=len, reverse=True))) or r"(?!)")
+        self._named: dict[str, str] = {}
+        for units in self.units:
+            for unit in units.back:
+                self._named.setdefault(unit, units.chain)
+
+    def seen(self, word: str) -> str | None:
+        """The transformation of the first stretch of a word that was learned, if there is one."""
+        hit = self._seen.search(word)
+        return self._named[hit[0]] if hit else None
 
     def explanations(self, word: str) -> list[tuple[str, str]]:
         """[(chain, restored word)] of every chain that turns all of the word into plain letters.
@@ -405,25 +503,34 @@ def has_stray(word: str, lang: Language, foreign: dict[str, frozenset[str]]) ->
     return False
 
 
+#: Signs that stand for bytes without a sign.
+_LOST_BYTE = re.compile("[\ufffd\x80-\x9f]")
+
+
 def judge(
     word: str, lang: Language, foreign: dict[str, frozenset[str]], repair: Repair, pairs: Pairs
-) -> tuple[bool, str | None, float]:
-    """(whether the word shows a wrong decoding, the original or None, gain).
+) -> tuple[bool, str | None, float, str | None]:
+    """(whether the word shows a wrong decoding, the original or None, gain, the transformation).
 
     Where the word is legible as it is and a repair exists too, the first is False and ``gain`` tells
-    how much more usual the letter pairs of the repaired word are.
+    how much more usual the letter pairs of the repaired word are. Without a learned stretch a word is
+    no case, but for signs that stand for lost bytes.
     """
     if LOST in word:
-        return True, None, 0.0
-    stray = has_stray(word, lang, foreign)
-    ways = {r for _, r in repair.explanations(word) if one_script(r)}
+        return True, None, 0.0, "lost bytes"
+    name = repair.seen(word)
+    lost = _LOST_BYTE.search(word) is not None
+    if name is None and not lost:
+        return False, None, 0.0, None
+    ways = {r: chain for chain, r in reversed(repair.explanations(word)) if one_script(r)}
     best = max(sorted(ways), key=lambda r: (not odd_capitals(r), pairs.score(r, lang, foreign=True))) if ways else None
-    if stray:
-        return True, best, 0.0
+    name = ways.get(best, name) or "lost bytes"
+    if lost or has_stray(word, lang, foreign):
+        return True, best, 0.0, name
     plain, other = plain_form(word, lang, foreign)
     if not one_script(plain):
-        return True, best, 0.0
+        return True, best, 0.0, name
     if best is None:
-        return False, None, 0.0
+        return False, None, 0.0, None
     legible = max(pairs.score(p, lang, foreign=True) for p in (plain, other))
-    return False, best, pairs.score(best, lang, foreign=True) - legible
+    return False, best, pairs.score(best, lang, foreign=True) - legible, name
