@@ -3,9 +3,10 @@
 Method: lexical retrieval packing. Documents are spread over shards of bounded size; each shard has a
 BM25 inverted index over the tokens of its documents. The largest unused document seeds a container;
 the index returns its unused neighbours, which fill the window greedily: at each step the most
-relevant neighbour among those nearly as large as the largest unused document that fits. The last gap
-is closed by the one or two unused documents that leave the least room. Sparsely filled containers of
-a shard are opened again and their documents packed by size alone.
+relevant neighbour is taken that leaves next to no room, or room that another unused document fills.
+Only where no neighbour does so the one or two unused documents are taken that leave the least room.
+Sparsely filled containers of a shard are opened again and their documents packed by size alone.
+``chosen_by`` tells of each row what put it there: seed, index, size or piece (of a long text).
 
 A text of more than the capacity is cut into full containers and one rest, which is packed like a
 document; no other text is split. Edge cases: null and empty texts and texts without tokens are left
@@ -28,10 +29,8 @@ from wordloom.llm import tokens
 
 #: Documents of a shard, on average; shards are hashed, so their sizes vary by a few per cent.
 SHARD_DOCS = 4000
-#: Neighbours that the index returns for a seed.
-NEIGHBOURS = 64
-#: A neighbour must be at least this share of the largest unused document that fits.
-NEARLY = 0.8
+#: Room that may be left in a container, as a share of its capacity.
+SPARE = 0.01
 K1, B = 1.2, 0.75
 
 
@@ -50,10 +49,10 @@ class Bm25:
         self.doc = doc[order]
         self.vocabulary, start, df = np.unique(term[order], return_index=True, return_counts=True)
         self.start, self.df = start, df
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        # tokens that stand in half of the documents or more have no weight
+        idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
         self.weight = weight[order] * np.repeat(idf, df)
-        # tokens that stand in more than a quarter of the documents tell nothing about neighbours
-        self.telling = df <= max(1, n // 4)
+        self.telling = idf > 0
         self.n, self.terms = n, terms
 
     def scores(self, seed: int) -> np.ndarray:
@@ -94,56 +93,77 @@ class _Unused:
         return (self.rows[one], self.rows[int(other[one])]) if total[one] > 0 else None
 
 
-def pack_shard(sizes: list[int], capacity: int, index: Bm25 | None) -> list[list[int]]:
-    """Containers as lists of document numbers."""
+def pack_shard(sizes: list[int], capacity: int, index: Bm25 | None) -> list[list[tuple[int, str]]]:
+    """Containers as lists of (document number, what chose it)."""
     unused = _Unused(sizes)
     free = np.ones(len(sizes), bool)
     array = np.array(sizes, np.int64)
+    left = np.bincount(array, minlength=capacity + 1)  # unused documents of each size
+    spare = int(SPARE * capacity)
+    room = np.arange(capacity + 1)
     containers = []
 
-    def take(doc: int, container: list[int]) -> int:
+    def take(doc: int, by: str, container: list[tuple[int, str]]) -> int:
         unused.drop(sizes[doc], doc)
         free[doc] = False
-        container.append(doc)
+        left[sizes[doc]] -= 1
+        container.append((doc, by))
         return sizes[doc]
 
+    def neighbour(score: np.ndarray, gap: int) -> int | None:
+        """The most relevant document after which the container is full or can be filled by one more."""
+        largest = np.maximum.accumulate(np.where(left > 0, room, -1))
+        closes = (room <= spare) | (largest >= room - spare)
+        able = free & (array <= gap)
+        able[able] = closes[gap - array[able]]
+        found = np.where(able, score, 0.0)
+        doc = int(found.argmax())
+        return doc if found[doc] > 0 else None
+
     for seed in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         if not free[seed]:
             continue
-        container: list[int] = []
-        gap = capacity - take(seed, container)
-        near: list[int] = []
-        if index is not None and (fit := unused.best(gap)):
-            score = np.where(free & (array <= gap), index.scores(seed), 0.0)
-            top = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS]
-            near = [int(i) for i in top[np.argsort(-score[top], kind="stable")] if score[i] > 0]
+        container: list[tuple[int, str]] = []
+        gap = capacity - take(seed, "seed", container)
+        score = index.scores(seed) if index is not None and unused.best(gap) else None
         while fit := unused.best(gap):
+            doc = neighbour(score, gap) if score is not None else None
+            if doc is not None:
+                gap -= take(doc, "index", container)
+                continue
             smallest = unused.rows[0][0]
+            chosen = (fit,)
             if gap < fit[0] + 2 * smallest:  # at most two more go in: close the gap
                 pair = unused.best_pair(gap)
                 chosen = pair if pair and pair[0][0] + pair[1][0] > fit[0] else (fit,)
-                for _, doc in chosen:
-                    gap -= take(doc, container)
-                continue
-            doc = next((i for i in near if free[i] and NEARLY * fit[0] <= sizes[i] <= gap), fit[1])
-            gap -= take(doc, container)
+            for _, doc in chosen:
+                gap -= take(doc, "size", container)
         containers.append(container)
     return containers
 
 
-def _repacked(containers: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+def _repacked(containers: list[list[tuple[int, str]]], sizes: list[int], capacity: int) -> list[list[tuple[int, str]]]:
     """Sparse containers opened and packed again by size alone, where that needs fewer."""
-    sparse = [c for c in containers if sum(sizes[i] for i in c) < 0.97 * capacity]
-    docs = [i for c in sparse for i in c]
+    full = lambda c: sum(sizes[i] for i, _ in c) >= 0.97 * capacity
+    sparse = [c for c in containers if not full(c)]
+    docs = [i for c in sparse for i, _ in c]
     again = pack_shard([sizes[i] for i in docs], capacity, None)
     if len(again) >= len(sparse):
         return containers
-    kept = [c for c in containers if sum(sizes[i] for i in c) >= 0.97 * capacity]
-    return kept + [[docs[i] for i in c] for c in again]
+    return [c for c in containers if full(c)] + [[(docs[i], by) for i, by in c] for c in again]
+
+
+def _packed_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, two or four for each."""
+    return values.astype("<u4" if len(values) and values.max() > 65535 else "<u2").tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
 def sized_documents(documents: DataFrame, ranks_path: str, lexicon_size: int) -> DataFrame:
-    """(doc_id, size, terms, counts): tokens of each text; its distinct tokens and counts as bytes."""
+    """(doc_id, size, distinct, terms, counts): tokens of each text; its distinct tokens and counts as bytes."""
     blocks = tokens.encoded_blocks(tokens.build_lexicon(documents, ranks_path, lexicon_size), ranks_path)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,18 +173,19 @@ def sized_documents(documents: DataFrame, ranks_path: str, lexicon_size: int) ->
                 [
                     rows.column("doc_id"),
                     pa.array(np.diff(offsets)),
-                    pa.array([t.astype("<u4").tobytes() if len(t) and t[-1] > 65535 else t.astype("<u2").tobytes() for t, _ in found], pa.binary()),
-                    pa.array([np.minimum(c, 255).astype("u1").tobytes() for _, c in found], pa.binary()),
+                    pa.array([len(t) for t, _ in found]),
+                    pa.array([_packed_numbers(t) for t, _ in found], pa.binary()),
+                    pa.array([_packed_numbers(c) for _, c in found], pa.binary()),
                 ],
-                names=["doc_id", "size", "terms", "counts"],
+                names=["doc_id", "size", "distinct", "terms", "counts"],
             )
 
-    sized = tokens.with_pieces(documents, "doc_id").mapInArrow(measure, "doc_id bigint, size bigint, terms binary, counts binary")
+    sized = tokens.with_pieces(documents, "doc_id").mapInArrow(measure, "doc_id bigint, size bigint, distinct bigint, terms binary, counts binary")
     return sized.filter("size > 0")
 
 
 def pack(documents: DataFrame, capacity: int = 2048, ranks_path: str = tokens.RANKS, lexicon_size: int = tokens.LEXICON_SIZE, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(container, doc_id, piece, first_token, n_tokens): which container holds which document or piece."""
+    """(container, doc_id, piece, first_token, n_tokens, chosen_by): which container holds which document or piece."""
     shards = max(1, round(documents.filter(F.length("text") > 0).count() / shard_docs))
     sized = sized_documents(documents, ranks_path, lexicon_size).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
 
@@ -173,24 +194,23 @@ def pack(documents: DataFrame, capacity: int = 2048, ranks_path: str = tokens.RA
         size = rows["size"].to_numpy()
         rest = np.where(size > capacity, size % capacity, size)
         items = np.flatnonzero(rest > 0)
-        counts = [np.frombuffer(rows["counts"][i], "u1") for i in items]
-        terms = [np.frombuffer(rows["terms"][i], "<u2" if len(rows["terms"][i]) == 2 * len(c) else "<u4") for i, c in zip(items, counts, strict=True)]
+        terms, counts = ([_numbers(rows[name][i], rows["distinct"][i]) for i in items] for name in ("terms", "counts"))
         sizes = rest[items].tolist()
         packed = _repacked(pack_shard(sizes, capacity, Bm25(terms, counts, rest[items].astype(float))), sizes, capacity)
         out = []
         number = 0
         for container in packed:
-            for item in container:
+            for item, by in container:
                 doc = items[item]
                 full = int(size[doc]) // capacity if size[doc] > capacity else 0
-                out.append((number, rows["doc_id"][doc], full, full * capacity, int(rest[doc])))
+                out.append((number, rows["doc_id"][doc], full, full * capacity, int(rest[doc]), by))
             number += 1
         for doc in np.flatnonzero(size > capacity):
             for piece in range(int(size[doc]) // capacity):
-                out.append((number, rows["doc_id"][doc], piece, piece * capacity, capacity))
+                out.append((number, rows["doc_id"][doc], piece, piece * capacity, capacity, "piece"))
                 number += 1
-        result = pd.DataFrame(out, columns=["container", "doc_id", "piece", "first_token", "n_tokens"])
+        result = pd.DataFrame(out, columns=["container", "doc_id", "piece", "first_token", "n_tokens", "chosen_by"])
         result["container"] += int(rows["shard"][0]) << 32
         return result
 
-    return sized.groupBy("shard").applyInPandas(pack_group, "container bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint")
+    return sized.groupBy("shard").applyInPandas(pack_group, "container bigint, doc_id bigint, piece int, first_token bigint, n_tokens bigint, chosen_by string")

@@ -2,15 +2,17 @@
 
 Method: compact windows. The tokens of a text are its overlapping grams of ``GRAM`` characters, each
 hashed. A Cartesian tree over the hashes, cut off where a node spans fewer than ``span - GRAM + 1``
-grams, gives the compact windows: all subsequences that are long enough and share their minimum. A
-span of ``span`` characters that two texts share has its minimum at the same place in both, so one
-hash finds every one of them. The window's key is the hash of the minimum's gram with ``SIDE``
-characters more on its left or on its right (a span reaches that far on one side at least). Documents
-that share a key are candidates: the interval join of their windows. Pairs are verified on the texts.
+grams, gives the compact windows (left, centre, right): all subsequences between left and right that
+hold the centre share its hash as their minimum. A span of ``span`` characters that two texts share
+has its minimum at the same place in both, so one hash finds every one of them. A window's key is the
+hash of the centre's gram with more characters on its left or on its right (a span reaches that far on
+one side at least). Windows with the same key are joined by their intervals: around the centre both
+must reach far enough to hold a span. Documents of joined windows are verified on their texts.
 
 A key that very many documents share (a notice a little shorter than a span) is not expanded to
-pairs: its windows are keyed again by every full span around the minimum, and only documents that
-share a full span are paired.
+pairs: its windows are keyed again by every full span around the centre, each span is verified on the
+text of the first document that has it, and only documents that share a span are paired. Which
+characters of a document stand elsewhere is told by such spans alone, without pairs.
 
 Edge cases: null texts and texts shorter than a span share nothing; repeated rows of one document
 share nothing with each other; texts are compared as stored, by code point, whole; ties of hashes
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.session import checkpointed
@@ -72,22 +74,29 @@ class Hasher:
             return h ^ (h >> np.uint64(31))
 
 
-def centres(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The places of the minima of all windows of ``width`` or more: Cartesian tree, cut at ``width``."""
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """(left, centre, right) of the compact windows of ``width`` or more: Cartesian tree, cut at ``width``."""
     n = len(hashes)
     if n < width:
-        return np.zeros(0, np.int64)
+        return np.zeros((0, 3), np.int64)
     out, stack, budget = [], [(0, n)], 16 * (n // width + 4)
     while stack:
         lo, hi = stack.pop()
         if hi - lo < width:
             continue
         centre = lo + int(hashes[lo:hi].argmin())
-        out.append(centre)
+        out.append((lo, centre, hi - 1))
         if len(out) > budget:
-            return _centres_by_doubling(hashes, width)
+            # of a deep tree the centres are enough: the windows are taken to reach over the text
+            deep = _centres_by_doubling(hashes, width)
+            return np.stack((np.zeros_like(deep), deep, np.full_like(deep, n - 1)), axis=1)
         stack += [(lo, centre), (centre + 1, hi)]
-    return np.array(out, np.int64)
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def centres(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The places of the minima of all windows of ``width`` or more."""
+    return windows(hashes, width)[:, 1]
 
 
 def _centres_by_doubling(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -102,48 +111,57 @@ def _centres_by_doubling(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def side_keys(hasher: Hasher, n: int, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, centre, side) of each window of a loaded text; side 0 reaches to the left, 1 to the right."""
+    """(key, window, side) of the compact windows of a loaded text; side 0 reaches to the left, 1 to the right."""
     side = (span - gram + 1) // 2
-    grams = hasher.at(np.arange(n - gram + 1), gram)
-    centre = centres(grams, span - gram + 1)
-    left, right = centre[centre >= side], centre[centre + gram + side <= n]
-    keys = np.concatenate((hasher.at(left - side, gram + side), hasher.at(right, gram + side) ^ np.uint64(1)))
+    found = windows(hasher.at(np.arange(n - gram + 1), gram), span - gram + 1)
+    left, right = found[found[:, 1] >= side], found[found[:, 1] + gram + side <= n]
+    keys = np.concatenate((hasher.at(left[:, 1] - side, gram + side), hasher.at(right[:, 1], gram + side) ^ np.uint64(1)))
     return keys, np.concatenate((left, right)), np.repeat([0, 1], [len(left), len(right)])
 
 
+_KEYS = {"key": np.int64, "doc_id": np.int64, "before": np.int32, "after": np.int32}
+
+
 def window_keys(documents: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, doc_id): the keys of each document's compact windows, each once."""
+    """(key, doc_id, before, after): the keys of a document's windows and how far they reach around their centres."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                n = hasher.load(text)
-                found.append(np.unique(side_keys(hasher, n, span, gram)[0].view(np.int64)) if n >= span else np.zeros(0, np.int64))
-            size = [len(f) for f in found]
-            yield pd.DataFrame({"key": np.concatenate(found) if found else np.zeros(0, np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), size)})
+            parts: dict[str, list[np.ndarray]] = {name: [np.zeros(0, kind)] for name, kind in _KEYS.items()}
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                key, window, _ = side_keys(hasher, hasher.load(text), span, gram)
+                if not len(key):
+                    continue
+                # of windows with the same key those that reach furthest
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                reach = (window[:, 1] - window[:, 0])[order], (window[:, 2] - window[:, 1])[order]
+                row = (key[order][starts].view(np.int64), np.full(len(starts), doc), *(np.maximum.reduceat(r, starts) for r in reach))
+                for name, values in zip(parts, row, strict=True):
+                    parts[name].append(values.astype(_KEYS[name], copy=False))
+            yield pd.DataFrame({name: np.concatenate(values) for name, values in parts.items()})
 
     texts = documents.filter(F.col("text").isNotNull() & (F.length("text") >= span)).select("doc_id", "text")
-    return texts.mapInPandas(keys, "key bigint, doc_id bigint")
-
-
-def _shared(keys: DataFrame, *by: str) -> DataFrame:
-    """Keys of more than one document, with ``members``; one shuffle, spillable whatever a key's size."""
-    group = Window.partitionBy(*by)
-    return (
-        keys.withColumn("low", F.min("doc_id").over(group))
-        .withColumn("high", F.max("doc_id").over(group))
-        .withColumn("members", F.count(F.lit(1)).over(group))
-        .filter("low < high")
-        .drop("low", "high")
-    )
+    return texts.mapInPandas(keys, "key bigint, doc_id bigint, before int, after int")
+
 
+def _shared(keys: DataFrame, *by: str, **more: Column) -> DataFrame:
+    """Rows whose key stands in more than one document, with ``members``.
 
-def _pairs(keys: DataFrame, *by: str) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b, of documents that share a key; each pair once."""
-    a, b = keys.select(*by, F.col("doc_id").alias("doc_a")), keys.select(*by, F.col("doc_id").alias("doc_b"))
-    return a.join(b, list(by)).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    Members are counted by a partial aggregate, and a key that very many documents share is split by
+    the join, so that no task holds all rows of a key.
+    """
+    counted = keys.groupBy(*by).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("members"), *(c.alias(n) for n, c in more.items()))
+    return keys.join(counted.filter("low < high").drop("low", "high"), list(by))
+
+
+def _pairs(shared: DataFrame, span: int, gram: int) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b, of documents with windows of one key that both hold a span; each pair once."""
+    a, b = (shared.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "before", "after"))) for x in "ab")
+    room = F.least("before_a", "before_b") + F.least("after_a", "after_b") + 1
+    joined = a.join(b, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (room >= span - gram + 1))
+    return joined.select(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b")).distinct()
 
 
 def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -196,27 +214,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
 
 
 def _full_spans(held: DataFrame, documents: DataFrame, span: int, gram: int) -> DataFrame:
-    """(h1, h2, doc_id, first): every full span around the minima of the given (key, doc_id)."""
+    """(h1, h2, doc_id, first): every full span around the centres of the given (key, doc_id)."""
     wanted = held.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # a document's own windows
-    ids = checkpointed(wanted)
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(ids, "doc_id")
+    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, "doc_id")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = Hasher(), Hasher(_BASE ^ 0x5851F42D4C957F2C)
         side = (span - gram + 1) // 2
         for batch in batches:
-            parts = [pd.DataFrame({"h1": np.zeros(0, np.int64), "h2": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "first": np.zeros(0, np.int64)})]
+            parts = [pd.DataFrame({name: np.zeros(0, np.int64) for name in ("h1", "h2", "doc_id", "first")})]
             for doc, text, keys in zip(batch["doc_id"], batch["text"], batch["keys"], strict=True):
                 n = one.load(text)
                 two.load(text)
                 if n < span:
                     continue
-                key, centre, where = side_keys(one, n, span, gram)
+                key, window, where = side_keys(one, n, span, gram)
                 hit = np.isin(key.view(np.int64), np.asarray(keys, np.int64))
-                # a span with the minimum and `side` characters on that side: it may start this much earlier
-                early = np.where(where[hit] == 0, span - gram, span - gram - side)
-                late = np.where(where[hit] == 0, side, 0)
-                starts = np.unique(np.concatenate([np.arange(c - e, c - w + 1) for c, e, w in zip(centre[hit], early, late, strict=True)] or [np.zeros(0, np.int64)]))
+                left, centre, right = window[hit].T
+                # a span with the minimum and `side` characters on that side: it may start this much earlier,
+                # and all of its grams lie in the window
+                early = np.maximum(centre - np.where(where[hit] == 0, span - gram, span - gram - side), left)
+                late = np.minimum(centre - np.where(where[hit] == 0, side, 0), right - (span - gram))
+                starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(early, late, strict=True)] or [np.zeros(0, np.int64)]))
                 starts = starts[(starts >= 0) & (starts + span <= n)]
                 h1, h2 = one.at(starts, span).view(np.int64), two.at(starts, span).view(np.int64)
                 parts.append(pd.DataFrame({"h1": h1, "h2": h2, "doc_id": np.full(len(starts), doc), "first": starts}))
@@ -225,15 +244,52 @@ def _full_spans(held: DataFrame, documents: DataFrame, span: int, gram: int) ->
     return texts.mapInPandas(expand, "h1 bigint, h2 bigint, doc_id bigint, first bigint")
 
 
+def shared_starts(held: DataFrame, documents: DataFrame, span: int, gram: int) -> DataFrame:
+    """(h1, h2, doc_id, first, members): spans that stand in more than one document, verified on the texts.
+
+    Each span is compared with the text of the first document that has it: as many comparisons as
+    spans, however many documents share one.
+    """
+    full = _full_spans(held, documents, span, gram)
+    shared = checkpointed(_shared(full, "h1", "h2", rep=F.min(F.struct("doc_id", "first"))))
+    places = F.collect_list(F.struct("h1", "h2", "first", F.col("rep.first").alias("rep_first"), "members")).alias("places")
+    against = shared.groupBy("doc_id", F.col("rep.doc_id").alias("rep_doc")).agg(places)  # at most the spans of one document
+    ids = checkpointed(against.select("doc_id").distinct())
+    texts = _only(documents, ids)
+    both = against.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep_doc"), F.col("text").alias("rep_text")), "rep_doc")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, rep, listed in zip(batch["doc_id"], batch["text"], batch["rep_text"], batch["places"], strict=True):
+                rows += [(p["h1"], p["h2"], doc, p["first"], p["members"]) for p in listed if text[p["first"] : p["first"] + span] == rep[p["rep_first"] : p["rep_first"] + span]]
+            yield pd.DataFrame(rows, columns=["h1", "h2", "doc_id", "first", "members"])
+
+    return both.mapInPandas(verify, "h1 bigint, h2 bigint, doc_id bigint, first bigint, members bigint")
+
+
+def _leading(starts: DataFrame) -> DataFrame:
+    """Of spans that follow each other in the same documents only the first, which tells as much."""
+    one = starts.dropDuplicates(["h1", "h2", "doc_id", "first"])
+    before = one.select("doc_id", (F.col("first") + 1).alias("first"), F.struct("h1", "h2").alias("prev"), F.col("members").alias("prev_members"))
+    linked = one.join(before, ["doc_id", "first"], "left")
+    same = (F.count("prev") == F.count(F.lit(1))) & (F.min("prev") == F.max("prev")) & (F.min("prev_members") == F.max("members"))
+    led = linked.groupBy("h1", "h2").agg(F.coalesce(same, F.lit(False)).alias("follows")).filter("not follows").drop("follows")
+    return one.join(led, ["h1", "h2"])
+
+
 def shared_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, direct: int = DIRECT) -> DataFrame:
-    """(doc_a, doc_b, doc_id, first, last): each pair that shares a span, with the stretches [first, last) of both."""
-    shared = checkpointed(_shared(window_keys(documents, span, gram).dropDuplicates(["key", "doc_id"]), "key"))
-    pairs = checkpointed(_pairs(shared.filter(F.col("members") <= direct), "key"))
+    """(doc_a, doc_b, doc_id, first, last): each pair that shares a span, with stretches [first, last) of both.
+
+    Of pairs found by keys of more than ``direct`` documents only the first span of each stretch is given.
+    """
+    shared = checkpointed(_shared(window_keys(documents, span, gram), "key"))
+    pairs = checkpointed(_pairs(shared.filter(F.col("members") <= direct), span, gram))
     ids = pairs.select(F.col("doc_a").alias("doc_id")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"))).distinct()
     found = _verified(pairs, _only(documents, checkpointed(ids)), span)
     held = shared.filter(F.col("members") > direct).select("key", "doc_id")
     if not held.isEmpty():
-        full = checkpointed(_shared(_full_spans(held, documents, span, gram), "h1", "h2"))
+        full = checkpointed(_leading(shared_starts(held, documents, span, gram)))
         a = full.select("h1", "h2", F.col("doc_id").alias("doc_a"), F.col("first").alias("at_a"))
         b = full.select("h1", "h2", F.col("doc_id").alias("doc_b"), F.col("first").alias("at_b"))
         both = a.join(b, ["h1", "h2"]).filter("doc_a < doc_b")
@@ -248,13 +304,17 @@ def sharing_pairs(documents: DataFrame) -> DataFrame:
     return shared_spans(documents).select("doc_a", "doc_b").distinct()
 
 
-def shared_characters(documents: DataFrame, **how: int) -> DataFrame:
-    """(doc_id, n_chars, shared_chars) of every document: how many characters lie in spans that stand elsewhere."""
-    stretches = shared_spans(documents, **how).select("doc_id", "first", "last").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("first", "last")
-    # a stretch adds what lies beyond the furthest end before it
-    reached = F.coalesce(F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    added = F.greatest(F.lit(0).cast("bigint"), F.col("last") - F.greatest(F.col("first"), reached))
-    covered = stretches.withColumn("added", added).groupBy("doc_id").agg(F.sum("added").alias("shared_chars"))
+def shared_characters(documents: DataFrame, span: int = SPAN, gram: int = GRAM, direct: int = DIRECT) -> DataFrame:
+    """(doc_id, n_chars, shared_chars) of every document: how many characters lie in spans that stand elsewhere.
+
+    A span counts if another document has it, whichever; pairs are not made, so ``direct`` is of no account.
+    """
+    held = checkpointed(_shared(window_keys(documents, span, gram), "key").select("key", "doc_id"))
+    starts = shared_starts(held, documents, span, gram).select("doc_id", "first").distinct()
+    by_doc = Window.partitionBy("doc_id").orderBy("first")
+    # a span adds what lies beyond the end of the one before it
+    reached = F.coalesce(F.lag("first").over(by_doc) + span, F.lit(0))
+    added = F.col("first") + span - F.greatest(F.col("first"), reached)
+    covered = starts.withColumn("added", added).groupBy("doc_id").agg(F.sum("added").alias("shared_chars"))
     sizes = documents.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("n_chars"))
     return sizes.join(covered, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared_chars", F.lit(0).cast("bigint")).alias("shared_chars"))

@@ -1,9 +1,11 @@
 """Problem 5: how often every term occurs, in how many records, and which are too rare or too common.
 
-Method: a global integer dictionary over (language, term), split by identifier range: each task owns
-the identifiers of the terms hashed to it. Terms are encoded block by block; two count arrays per
-range (occurrences, records) are summed as the blocks come in. One shuffle brings a file's terms
-together (distinct lines, record presence), one brings a term's files together.
+Method: the lines of each task are a block. A block's terms are encoded and two arrays accumulated,
+occurrences and records that hold the term. A global integer dictionary over (language, term) is split
+by identifier range: a task owns the terms hashed to it, sorts them outside memory if need be, and a
+term's identifier is its place in the range; the arrays of all blocks are summed by identifier. One
+shuffle brings a file's terms together (distinct lines, record presence), one brings the blocks'
+arrays to the ranges.
 
 Edge cases: null words, files, frequencies or frequencies below 1 are not counted; a term without a
 letter is dropped; lines delivered again count once; versions of a line that differ in word or
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,47 +52,81 @@ def file_terms(raw_freq: DataFrame) -> DataFrame:
     )
 
 
-def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Encodes the blocks of one identifier range and sums their count arrays."""
-    ids: dict[tuple[str, str], int] = {}
-    totals, records = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-    for block in batches:
-        if not block.num_rows:
-            continue
-        lang, term = block.column("lang").dictionary_encode(), block.column("term").dictionary_encode()
+#: Terms of a block; a task that meets more of them starts another block.
+BLOCK_TERMS = 500_000
+
+
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encodes a block's terms and accumulates its count arrays: a row for each term, with its occurrences and records."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        block = pa.concat_tables(held).combine_chunks()
+        lang, term = (block.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))
         pair = lang.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
-        seen, where = np.unique(pair, return_inverse=True)
-        langs, terms = lang.dictionary.to_pylist(), term.dictionary.to_pylist()
-        local = np.fromiter(
-            (ids.setdefault((langs[p // len(terms)], terms[p % len(terms)]), len(ids)) for p in seen.tolist()),
-            np.int64,
-            len(seen),
-        )
-        if len(ids) > len(totals):
-            grow = max(len(ids), 2 * len(totals)) - len(totals)
-            totals, records = np.pad(totals, (0, grow)), np.pad(records, (0, grow))
-        code = local[where]
+        seen, code = np.unique(pair, return_inverse=True)
+        totals, records = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
         np.add.at(totals, code, block.column("total").to_numpy())
         np.add.at(records, code, block.column("files").to_numpy())
-    keys = list(ids)
-    for at in range(0, len(keys), 65536):
-        part = keys[at : at + 65536]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in part], pa.string()),
-                pa.array([k[1] for k in part], pa.string()),
-                pa.array(np.arange(at, at + len(part))),
-                pa.array(totals[at : at + len(part)]),
-                pa.array(records[at : at + len(part)]),
-            ],
-            names=["lang", "term", "code", "total", "files"],
-        )
+        at_lang, at_term = np.divmod(seen, len(term.dictionary))
+        columns = [lang.dictionary.take(pa.array(at_lang)), term.dictionary.take(pa.array(at_term)), pa.array(totals), pa.array(records)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "total", "files"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+        if size >= BLOCK_TERMS:
+            yield counted()
+            held, size = [], 0
+    if held:
+        yield counted()
+
+
+def _range_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The dictionary entries of one identifier range and the sums of the blocks' arrays over it.
+
+    The rows come sorted by language and term, so that a term's identifier is its place; the last
+    term of a batch waits for the next one.
+    """
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("code", pa.int64()), ("total", pa.int64()), ("files", pa.int64())])
+    code, last = 0, None
+
+    def entry(found: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(found, schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lang, term = batch.column("lang"), batch.column("term")
+        same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, len(lang) - 1)), pc.equal(term.slice(1), term.slice(0, len(term) - 1)))
+        starts = np.concatenate(([0], pc.indices_nonzero(pc.invert(same)).to_numpy().astype(np.int64) + 1))
+        totals = np.add.reduceat(batch.column("total").to_numpy(), starts)
+        records = np.add.reduceat(batch.column("files").to_numpy(), starts)
+        if last is not None and last[:2] == (lang[0].as_py(), term[0].as_py()):
+            totals[0] += last[3]
+            records[0] += last[4]
+        elif last is not None:
+            yield entry(last)
+            code += 1
+        n = len(starts) - 1
+        if n:
+            at = pa.array(starts[:-1])
+            yield pa.RecordBatch.from_arrays([lang.take(at).cast(pa.string()), term.take(at).cast(pa.string()), pa.array(np.arange(code, code + n)), pa.array(totals[:-1]), pa.array(records[:-1])], schema=schema)
+        code += n
+        end = int(starts[-1])
+        last = (lang[end].as_py(), term[end].as_py(), code, int(totals[-1]), int(records[-1]))
+    if last is not None:
+        yield entry(last)
 
 
 def term_counts(per_file: DataFrame) -> DataFrame:
     """(lang, term, term_id, total, files) of every term; term_id is unique over the whole collection."""
-    owned = per_file.select("lang", "term", "total", F.lit(1).cast("bigint").alias("files")).repartition("lang", "term")
-    counted = owned.mapInArrow(_count_blocks, "lang string, term string, code bigint, total bigint, files bigint")
+    rows = per_file.select("lang", "term", "total", F.lit(1).cast("bigint").alias("files"))
+    blocks = rows.mapInArrow(_block_counts, "lang string, term string, total bigint, files bigint")
+    ranges = blocks.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    counted = ranges.mapInArrow(_range_sums, "lang string, term string, code bigint, total bigint, files bigint")
     # the identifier range of a task starts at its number times 2^33
     term_id = F.shiftleft(F.spark_partition_id().cast("bigint"), 33) + F.col("code")
     return counted.select("lang", "term", term_id.alias("term_id"), "total", "files")
@@ -108,6 +145,5 @@ def marked_terms(raw_freq: DataFrame, rare_total: int = 2, common_pct: int = 60)
         (F.col("files") >= 2) & (F.col("files") * 100 >= F.col("lang_files") * common_pct), "common"
     )
     return (
-        # one row per three-letter code: at most 26^3 rows
-        term_counts(per_file).join(F.broadcast(files), "lang").select("lang", "term", "total", "files", mark.alias("mark"))
+        term_counts(per_file).join(files, "lang").select("lang", "term", "total", "files", mark.alias("mark"))
     )
