@@ -11,6 +11,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterable
 
 import regex
 
@@ -251,17 +252,26 @@ class Pairs:
 
     def _set(self, counts: dict[str, tuple[dict[int, int], dict[str, int]]], script_of: dict[str, str]) -> None:
         self.by_lang = counts
+        self._known: dict[str, dict[str, float]] = {}  # values of the pairs met so far
         self.langs: dict[str, list[str]] = {}
         for code in counts:
             self.langs.setdefault(script_of.get(code, ""), []).append(code)
 
-    def run_score(self, run: str, code: str) -> float:
+    def _value(self, pair: str, code: str) -> float:
         buckets, first = self.by_lang.get(code, ({}, {}))
-        text, size = f"^{run.lower()}$", len(first) + 2
-        total = 0.0
-        for i in range(len(text) - 1):
-            n = first.get(text[i])
-            total += math.log((buckets.get(bucket(text[i : i + 2]), 0) + 0.5) / (n + 0.5 * size)) if n else -9.0
+        n = first.get(pair[0])
+        return math.log((buckets.get(bucket(pair), 0) + 0.5) / (n + 0.5 * (len(first) + 2))) if n else -9.0
+
+    def run_score(self, run: str, code: str) -> float:
+        known = self._known.setdefault(code, {})
+        text, total = f"^{run.lower()}$", 0.0
+        for pair in map("".join, zip(text, text[1:])):
+            value = known.get(pair)
+            if value is None:
+                if len(known) >= BUCKETS:
+                    known.clear()
+                value = known[pair] = self._value(pair, code)
+            total += value
         return total / (len(text) - 1)
 
     def score(self, word: str, lang: Language, foreign: bool = False) -> float:
@@ -355,7 +365,7 @@ def substituted(wrong: list[str], right: list[str]) -> list[tuple[str, str]]:
     """The different (unit, letter) in which aligned stretches differ; none where a stretch can't be split evenly."""
     pairs: dict[tuple[str, str], None] = {}
     for unit, letters in zip(wrong, right, strict=True):
-        if unit.lower() == letters or compose(unit).lower() == letters:
+        if unit == letters or unit.lower() == letters or compose(unit).lower() == letters:
             continue
         width, rest = divmod(len(unit), len(letters))
         if rest or not width:
@@ -386,7 +396,7 @@ _PLAIN_SIGNS = frozenset("«»")
 class Units:
     """What one chain makes of the letters of one language, and the way back."""
 
-    __slots__ = ("back", "chain", "pattern", "signs", "table", "usual")
+    __slots__ = ("back", "chain", "lengths", "signs", "table", "usual")
 
     def __init__(self, chain: str, letters: str, own: str, others: str, strange: frozenset[tuple[str, str]] = frozenset()) -> None:
         back: dict[str, str] = {}
@@ -408,17 +418,34 @@ class Units:
         self.signs = frozenset("".join(back))
         plain = own + own.upper() + others + others.upper() if chain.startswith("utf-8") else own + own.upper()
         self.usual = self.signs | frozenset(plain) | _PLAIN_SIGNS
-        self.pattern = None  # compiled when first needed
         # one sign for each letter: no search is needed
         self.table = str.maketrans(back) if back and all(len(unit) == 1 for unit in back) else None
+        self.lengths = _lengths(back)
 
     def undo(self, word: str) -> str:
-        """The word with its units replaced."""
+        """The word with its units replaced, at each place the longest."""
         if self.table is not None:
             return word.translate(self.table)
-        if self.pattern is None:
-            self.pattern = re.compile("|".join(map(re.escape, sorted(self.back, key=len, reverse=True))))
-        return self.pattern.sub(lambda m: self.back[m[0]], word)
+        out, i, n = [], 0, len(word)
+        while i < n:
+            for size in self.lengths.get(word[i], ()):
+                letter = self.back.get(word[i : i + size])
+                if letter is not None:
+                    out.append(letter)
+                    i += size
+                    break
+            else:
+                out.append(word[i])
+                i += 1
+        return "".join(out)
+
+
+def _lengths(units: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    """First sign -> the lengths of the units that begin with it, longest first."""
+    found: dict[str, set[int]] = {}
+    for unit in units:
+        found.setdefault(unit[0], set()).add(len(unit))
+    return {ch: tuple(sorted(sizes, reverse=True)) for ch, sizes in found.items()}
 
 
 class Repair:
@@ -436,17 +463,20 @@ class Repair:
                 units = Units(chain, own + others if chain.startswith("utf-8") else own, own, others, strange)
                 if units.back:
                     self.units.append(units)
-        seen = {unit for u in self.units for unit in u.back}
-        self._seen = re.compile("|".join(map(re.escape, sorted(seen, key=len, reverse=True))) or r"(?!)")
         self._named: dict[str, str] = {}
         for units in self.units:
             for unit in units.back:
                 self._named.setdefault(unit, units.chain)
+        self._starts = _lengths(self._named)
 
     def seen(self, word: str) -> str | None:
-        """The transformation of the first stretch of a word that was learned, if there is one."""
-        hit = self._seen.search(word)
-        return self._named[hit[0]] if hit else None
+        """The transformation of the first stretch of a word that one of them makes, if there is one."""
+        for i, ch in enumerate(word):
+            for size in self._starts.get(ch, ()):
+                name = self._named.get(word[i : i + size])
+                if name is not None:
+                    return name
+        return None
 
     def explanations(self, word: str) -> list[tuple[str, str]]:
         """[(chain, restored word)] of every chain that turns all of the word into plain letters.
