@@ -44,3 +44,20 @@ def test_wiki_text(frame):
         wiki.plain_wikitext(F.lit("'''A''' [[B|C]] {{x|y}}<ref>z</ref> d")).alias("plain"), wiki.speaker_count(F.lit("2-4 million")).alias("m"),
     ).collect()[0]
     assert (row.base, row.n, row.title, row.plain, row.m) == ("Foo", 1200000.0, "Foo language", "A C d", 3e6)
+
+
+def test_stream_adds_lines_delivered_again_once(spark, tmp_path):
+    schema = "row_id bigint, file string, lang string, ord bigint, word string, frequency bigint, loaded_at timestamp"
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    runs = [[(1, "aaa_x.csv", "aaa", 1, "Hello", 10, None), (2, "aaa_x.csv", "aaa", 1, "Hello", 10, None), (3, "aaa_x.csv", "aaa", 2, "other", 7, None)], [(4, "aaa_x.csv", "aaa", 1, "hello", 5, None), (5, "aaa_x.csv", "aaa", 1, "Hello", 10, None), (6, None, None, 1, "x", 1, None)]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        merge.merge_new_files(merge.streamed_lines(spark, source), target, state).awaitTermination()
+    assert {(r.lang, r.word): r.frequency for r in spark.read.parquet(target).collect()} == {("aaa", "hello"): 15, ("aaa", "other"): 7}
+
+
+def test_lists_are_read_back_in_order(spark, tmp_path):
+    words = spark.createDataFrame([("aaa", "b", 3), ("aaa", "a", 3), ("aaa", "c", 9), ("bbb", "x,\"y", 1)], "lang string, word string, frequency bigint")
+    files.write_lists(words, str(tmp_path / "lists"))
+    back = files.read_lists(spark, str(tmp_path / "lists")).collect()
+    assert sorted((r.word, r.frequency) for r in back) == [("a", 3), ("b", 3), ("c", 9), ("x,\"y", 1)]

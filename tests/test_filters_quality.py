@@ -64,3 +64,32 @@ def test_program_words(frame):
     no = ["hello", "one.two", "a,b", "self-aware"]
     got = {r.w: r.p for r in frame("w string", [(w,) for w in yes + no]).select("w", T.is_program(F.col("w")).alias("p")).collect()}
     assert all(got[w] for w in yes) and not any(got[w] for w in no)
+
+
+def test_dominant_script_of_any_script(frame):
+    words = {"مرحبا": "Arabic", "漢字": "Han", "aб": "Latin", "бa": "Cyrillic", "abб": "Latin", "Γεια!": "Greek", "123": "Common", "𐎠": "Common", "": "Common", "שלום": "Hebrew", "हिन्दी": "Devanagari"}
+    got = {r.w: r.s for r in frame("w string", [(w,) for w in words]).select("w", T.dominant_script(F.col("w")).alias("s")).collect()}
+    assert got == words
+    assert len(T.SCRIPTS) == 46
+
+
+def test_words_in_scripts_beyond_four_are_foreign(lists, frame):
+    raw = lists({"aaa_1.csv": [("hello", 3), ("مرحبا", 1), ("漢字", 1), ("aб", 1), ("бa", 1)]})
+    got = quality.quality(frequency.lines(raw), frame("lang string, script string", [("aaa", "Latin")])).collect()[0]
+    assert got.foreign_script_pct == 60.0
+
+
+def test_stripped_signs_are_weighted(lists):
+    raw = lists({"aaa_1.csv": [('"foo"', 3), ("bar", 5), ("...", 2), ("(x", 1)]})
+    got = frequency.merge_report(frequency.lines(raw)).collect()[0]
+    assert abs(got.avg_stripped - (3 * 2 + 1) / 11) < 1e-12 and got.tokens_raw == 11
+
+
+def test_reasons_and_the_list_made_by_hand(lists, frame):
+    rows = frequency.lines(lists(FILES))
+    shares = filters.file_scripts(filters.script_letters(rows))
+    overlap = filters.overlap_ignored(filters.top_pairs(filters.hapax_overlap(rows)))
+    manual = filters.manual_ignored(frame("file string", [("aaa_source2.csv",)]))
+    got = {r.file: r.reason for r in filters.priority_union(manual, overlap, filters.script_ignored(shares)).collect()}
+    assert got == {"aaa_source2.csv": "manual ignore", "aaa_source3.csv": "file is 100.0% Cyrillic, but lang script is Latin (only 0.0% in file, need >= 75.0%)"}
+    assert {r.reason for r in overlap.collect()} == {"100.0% hapax overlap with aaa_source1.csv"}

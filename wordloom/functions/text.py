@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,16 +13,22 @@ STRIP_CHARS = '.,?!":()…“ ”„‟‘’«»'
 KNOWN_PUNCT = '".,?!;:/\\@#$%^&*~`<>|+=_()[]{}'
 # English words that tell of foreign text.
 ENGLISH_WORDS = ("the", "with", "there", "that", "will", "which", "after", "would", "people", "other", "where", "years", "because", "against", "however")
-# Unicode scripts that are told apart.
-SCRIPTS = (
-    "Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Syriac", "Thaana", "Devanagari", "Bengali", "Gurmukhi",
-    "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Thai", "Lao", "Tibetan", "Myanmar", "Georgian",
-    "Hangul", "Ethiopic", "Cherokee", "Canadian_Aboriginal", "Ogham", "Runic", "Khmer", "Mongolian", "Hiragana", "Katakana",
-    "Han", "Buginese", "Balinese", "Yi", "Tai_Le", "New_Tai_Lue", "Tifinagh", "Vai", "Old_Italic", "Gothic", "Deseret",
-    "Cypriot", "Ol_Chiki",
-)
-#: Script codes of file names and the scripts they stand for.
-SCRIPT_CODES = {"Latn": "Latin", "Cyrl": "Cyrillic", "Grek": "Greek", "Geor": "Georgian"}
+# Codes of the Unicode scripts that are told apart, and their names.
+SCRIPT_CODES = {
+    "Latn": "Latin", "Grek": "Greek", "Cyrl": "Cyrillic", "Armn": "Armenian", "Hebr": "Hebrew", "Arab": "Arabic", "Syrc": "Syriac", "Thaa": "Thaana",
+    "Deva": "Devanagari", "Beng": "Bengali", "Guru": "Gurmukhi", "Gujr": "Gujarati", "Orya": "Oriya", "Taml": "Tamil", "Telu": "Telugu", "Knda": "Kannada",
+    "Mlym": "Malayalam", "Sinh": "Sinhala", "Thai": "Thai", "Laoo": "Lao", "Tibt": "Tibetan", "Mymr": "Myanmar", "Geor": "Georgian", "Hang": "Hangul",
+    "Ethi": "Ethiopic", "Cher": "Cherokee", "Cans": "Canadian_Aboriginal", "Ogam": "Ogham", "Runr": "Runic", "Khmr": "Khmer", "Mong": "Mongolian",
+    "Hira": "Hiragana", "Kana": "Katakana", "Hani": "Han", "Bugi": "Buginese", "Bali": "Balinese", "Yiii": "Yi", "Tale": "Tai_Le", "Talu": "New_Tai_Lue",
+    "Tfng": "Tifinagh", "Vaii": "Vai", "Ital": "Old_Italic", "Goth": "Gothic", "Dsrt": "Deseret", "Cprt": "Cypriot", "Olck": "Ol_Chiki",
+}
+SCRIPTS = tuple(SCRIPT_CODES.values())
+#: Groups of scripts by code; others are 'Other'.
+SCRIPT_GROUPS = {
+    "Latin": ("Latn",), "Cyrillic": ("Cyrl",), "Other Alphabet": ("Grek", "Armn", "Geor"), "Arabic": ("Arab",), "Other Abjad": ("Hebr", "Syrc", "Thaa"),
+    "Indic": ("Deva", "Beng", "Guru", "Gujr", "Orya", "Taml", "Telu", "Knda", "Mlym", "Sinh"), "Ethiopic": ("Ethi",), "Syllabic": ("Cans", "Cher", "Vaii"),
+    "CJK": ("Hani", "Hira", "Kana", "Hang"),
+}
 
 
 def has_letter(word: Column) -> Column:
@@ -38,11 +46,6 @@ def clean_word(word: Column) -> Column:
     return F.when(has_letter(key), key)
 
 
-def script_letters(word: Column, script: str) -> Column:
-    """How many characters of the word belong to a script."""
-    return F.length(F.regexp_replace(word, rf"[^\p{{Is{script}}}]", ""))
-
-
 def script_of(ch: Column) -> Column:
     """The script of a letter, 'Other' for scripts that are not told apart."""
     out = F.lit("Other")
@@ -51,9 +54,22 @@ def script_of(ch: Column) -> Column:
     return out
 
 
+def dominant_script(word: Column) -> Column:
+    """The script with the most letters, of equal ones the first seen; 'Common' without letters of a known script."""
+    letters = F.filter(F.split(word, ""), lambda ch: ch.rlike(r"\p{L}"))
+    found = F.filter(F.transform(letters, script_of), lambda s: s != "Other")
+    # the least (minus count, place) is the first of the most frequent
+    ranked = F.transform(F.array_distinct(found), lambda s, i: F.struct((-F.size(F.filter(found, lambda x: x == s))).alias("n"), i.alias("i"), s.alias("s")))
+    ascii_only = F.when(word.rlike("[A-Za-z]"), "Latin").otherwise("Common")
+    return F.when(word.rlike(r"\A[\x00-\x7F]*\z"), ascii_only).otherwise(F.coalesce(F.array_min(ranked)["s"], F.lit("Common")))
+
+
+_PUNCT_CLASS = "[" + re.escape(KNOWN_PUNCT) + "]"
+
+
 def punct_signs(word: Column) -> Column:
     """How many signs of a word are known punctuation."""
-    return F.length(word) - F.length(F.regexp_replace(word, r"""[".,?!;:/\\@#$%^&*~`<>|+=_()\[\]{}]""", ""))
+    return F.length(word) - F.length(F.regexp_replace(word, _PUNCT_CLASS, ""))
 
 
 def is_program(word: Column) -> Column:

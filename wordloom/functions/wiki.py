@@ -55,7 +55,6 @@ def speaker_count(text: Column) -> Column:
     number = r"(\d+(?:\.\d+)?)"
     unit = r"\s*(thousand|million|billion)?"
     found = rf"(?i){number}(?:\s*[-\x{{2013}}]\s*{number})?{unit}"
-    low, high = (F.expr("1").cast("double"), None)
     low = F.nullif(F.regexp_extract(shown, found, 1), F.lit("")).cast("double")
     high = F.nullif(F.regexp_extract(shown, found, 2), F.lit("")).cast("double")
     word = F.lower(F.regexp_extract(shown, found, 3))

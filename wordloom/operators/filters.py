@@ -59,7 +59,7 @@ def overlap_ignored(pairs: DataFrame, threshold: float = OVERLAP_PCT) -> DataFra
     listed = pairs.filter(F.greatest("share_a_pct", "share_b_pct") > threshold).groupBy("lang").agg(F.sort_array(F.collect_list(step)).alias("steps"))
     start = F.array().cast("array<struct<file:string,reason:string>>")
     gone = lambda acc, file: F.exists(acc, lambda x: x["file"] == file)
-    added = lambda s: F.array(F.struct(s["victim"].alias("file"), F.concat(F.format_string("%.2f", s["pct"]), F.lit("% overlap with "), s["other"]).alias("reason")))
+    added = lambda s: F.array(F.struct(s["victim"].alias("file"), F.concat(_pct_text(s["pct"]), F.lit(" hapax overlap with "), s["other"]).alias("reason")))
     folded = F.aggregate("steps", start, lambda acc, s: F.when(gone(acc, s["victim"]) | gone(acc, s["other"]), acc).otherwise(F.concat(acc, added(s))))
     return listed.select("lang", F.explode(folded).alias("x")).select("lang", "x.file", "x.reason")
 
@@ -101,12 +101,27 @@ def language_scripts(shares: DataFrame, most: int = 2) -> DataFrame:
     )
 
 
+def _pct_text(pct: Column) -> Column:
+    """One decimal, halves to the even digit."""
+    return F.concat(F.format_number(pct, 1), F.lit("%"))
+
+
 def script_ignored(shares: DataFrame, threshold: float = SCRIPT_PCT) -> DataFrame:
     """(lang, file, reason): files in which the language's main script has less than the threshold."""
     main = language_scripts(shares, 1).select("lang", F.col("script").alias("main"))
-    of_main = shares.join(main, "lang").groupBy("lang", "file", "main").agg(F.sum(F.when(F.col("script") == F.col("main"), F.col("pct")).otherwise(0.0)).alias("pct"))
-    reason = F.concat(F.lit("only "), F.format_string("%.1f", F.col("pct")), F.lit("% "), F.col("main"))
-    return of_main.filter(F.col("pct") < threshold).select("lang", "file", reason.alias("reason"))
+    of_file = F.max(F.when(F.col("place") == 1, F.struct("script", "pct"))).alias("own")
+    of_main = shares.join(main, "lang").groupBy("lang", "file", "main").agg(F.sum(F.when(F.col("script") == F.col("main"), F.col("pct")).otherwise(0.0)).alias("pct"), of_file)
+    need = F.lit(f"(need >= {threshold:.1f}%)")
+    same = F.concat(F.lit("lang script "), "main", F.lit(" only "), _pct_text(F.col("pct")), F.lit(" in file "), need)
+    other = F.concat(
+        F.lit("file is "), _pct_text(F.col("own.pct")), F.lit(" "), F.col("own.script"), F.lit(", but lang script is "), "main", F.lit(" (only "), _pct_text(F.col("pct")), F.lit(f" in file, need >= {threshold:.1f}%)")
+    )
+    return of_main.filter(F.col("pct") < threshold).select("lang", "file", F.when(F.col("own.script") == F.col("main"), same).otherwise(other).alias("reason"))
+
+
+def manual_ignored(files: DataFrame) -> DataFrame:
+    """(lang, file, reason) of a list of file names made by hand, the first of the lists to be united."""
+    return files.select(F.substring("file", 1, 3).alias("lang"), "file", F.lit("manual ignore").alias("reason"))
 
 
 def priority_union(*lists: DataFrame) -> DataFrame:

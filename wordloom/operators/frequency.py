@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import clean_word, has_letter, ppm, stripped
+from wordloom.session import checkpointed
 
 # Coverage levels in per cent.
-LEVELS = (50.0, 55.0, 60.0, 65.0, 70.0, 72.0, 74.0, 76.0, 78.0, 80.0, *(float(p) for p in range(81, 91)), *(p / 2 for p in range(181, 201)))
+LEVELS = (
+    50.0, 55.0, 60.0, 65.0, 70.0, 72.0, 74.0, 76.0, 78.0, 80.0, 81.0, 82.0, 83.0, 84.0, 85.0, 86.0, 87.0, 88.0, 89.0, 90.0,
+    90.5, 91.0, 91.5, 92.0, 92.5, 93.0, 93.5, 94.0, 94.5, 95.0, 95.5, 96.0, 96.5, 97.0, 97.5, 98.0, 98.5, 99.0, 99.5, 100.0,
+)
 
 
 def lines(raw_freq: DataFrame) -> DataFrame:
@@ -44,16 +48,18 @@ def text_words(documents: DataFrame, by: str = "lang") -> DataFrame:
 
 
 def merge_report(rows: DataFrame) -> DataFrame:
-    """Per file: tokens before and after cleaning, words, dropped words, signs stripped per word, words new to the language.
+    """Per file: tokens before and after cleaning, words, dropped words, signs stripped per token, words new to the language.
 
-    A word is new in the first file (by name) of its language that has it.
+    Words of which nothing is left add no stripped signs, but count as tokens. A word is new in the
+    first file (by name) of its language that has it.
     """
-    word = clean_word(F.col("word"))
+    word, left = clean_word(F.col("word")), F.length(stripped(F.col("word")))
+    signs = F.when(left > 0, F.col("frequency") * (F.length("word") - left)).otherwise(0)
     per_file = rows.groupBy("lang", "file").agg(
         F.sum("frequency").alias("tokens_raw"),
         F.sum(F.when(word.isNotNull(), F.col("frequency")).otherwise(0)).alias("tokens_clean"),
         F.count_distinct("word").alias("types_raw"),
-        F.avg(F.length("word") - F.length(stripped(F.col("word")))).alias("avg_stripped"),
+        (F.sum(signs) / F.sum("frequency")).alias("avg_stripped"),
     )
     pairs = cleaned(rows).select("lang", "file", "word").distinct()
     first = pairs.groupBy("lang", "word").agg(F.min("file").alias("first"))
@@ -185,15 +191,13 @@ def truncated(words: DataFrame, level: float = 94.0, seed: int | None = None) ->
     Of the words of the last frequency only as many are kept as needed: the first by word or, with a
     seed, a random choice that depends on word and seed alone. ppm is of the whole list.
     """
+    words = checkpointed(words)  # for the spectrum, the band and the words themselves
     band = cut_band(words, level)
-    if seed is None:
-        order, head = F.col("word"), F.substring("word", 1, 2)
-    else:
-        order = F.xxhash64("word", F.lit(seed))
-        head = F.shiftright(order, 54).cast("string")
+    order = F.col("word") if seed is None else F.md5(F.concat("word", F.lit(f":{seed}")))
+    head = F.substring(order, 1, 2)
     above = words.join(band.drop("tied"), "lang").filter(F.col("frequency") >= F.col("last")).withColumn("order", order).withColumn("head", head)
     tied = above.filter(F.col("frequency") == F.col("last"))
-    by_head = Window.partitionBy("lang").orderBy(F.col("head").cast("bigint") if seed is not None else F.col("head")).rowsBetween(Window.unboundedPreceding, -1)
+    by_head = Window.partitionBy("lang").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tied.groupBy("lang", "head").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_head), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("lang", "head").orderBy("order", "word"))
     chosen = tied.withColumn("place", place).join(offsets.drop("n"), ["lang", "head"]).filter(F.col("before") + F.col("place") <= F.col("needed"))

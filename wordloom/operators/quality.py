@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import ENGLISH_WORDS, SCRIPT_CODES, is_program, punct_signs, script_letters
+from wordloom.functions.text import ENGLISH_WORDS, SCRIPT_CODES, dominant_script, is_program, punct_signs
 
 
 def fence(size: str, factor: float) -> Column:
@@ -36,27 +36,24 @@ CHECKS: dict[str, Callable[[], Column]] = {
 }
 
 
-def dominant_script(word: Column, scripts: tuple[str, ...] = tuple(SCRIPT_CODES.values())) -> Column:
-    """The script with the most letters; equal ones in the order given; 'Common' without letters."""
-    counts = [script_letters(word, s) for s in scripts]
-    most = F.greatest(*counts)
-    out = F.lit("Common")
-    for name, n in reversed(list(zip(scripts, counts, strict=True))):
-        out = F.when((n == most) & (most > 0), name).otherwise(out)
-    return out
+def word_marks(rows: DataFrame) -> DataFrame:
+    """(word, size, puncts, found, is_program) of each distinct word; ``found`` is its script."""
+    word = F.col("word")
+    return rows.select("word").distinct().select(
+        "word", F.length(word).alias("size"), punct_signs(word).alias("puncts"), dominant_script(word).alias("found"), is_program(word).alias("is_program")
+    )
 
 
 def flagged(rows: DataFrame, scripts: DataFrame) -> DataFrame:
     """Lines with the flags that the checks count. ``scripts``: (lang, script), the script expected of each language."""
-    sized = rows.withColumn("size", F.length("word")).withColumn("puncts", punct_signs(F.col("word")))
-    limits = sized.groupBy("file").agg(fence("size", 3.0).alias("long_threshold"))
-    found = dominant_script(F.col("word"))
+    limits = rows.withColumn("size", F.length("word")).groupBy("file").agg(fence("size", 3.0).alias("long_threshold"))
+    # words are judged once, however many lines hold them
     return (
-        sized.join(F.broadcast(scripts), "lang", "left")
+        rows.join(word_marks(rows), "word")
+        .join(scripts, "lang", "left")
         .join(limits, "file")
         .withColumn("is_long", F.col("size") > F.col("long_threshold"))
-        .withColumn("is_foreign", F.coalesce((found != F.col("script")) & (found != "Common"), F.lit(False)))
-        .withColumn("is_program", is_program(F.col("word")))
+        .withColumn("is_foreign", F.coalesce((F.col("found") != F.col("script")) & (F.col("found") != "Common"), F.lit(False)))
     )
 
 

@@ -55,6 +55,10 @@ def clustering(rows: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
+#: Rows of a table of which all pairs may be compared.
+MOST_COMPARED = 20_000
+
+
 def average_rank(value: str, *by: str) -> Column:
     """Rank from the smallest; equal values share the mean of their ranks."""
     order = Window.partitionBy(*by).orderBy(value)
@@ -67,6 +71,22 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
+def correlations(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(a, b, pearson) of every two of the columns, from one pass over the rows."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    doubles = rows.select(*(F.col(n).cast("double").alias(n) for n in names))
+    one = doubles.agg(*(pearson(a, b).alias(f"{a}/{b}") for a, b in pairs))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}/{b}`").alias("pearson")) for a, b in pairs))).alias("p")).select("p.*")
+
+
+def stretched(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """``rows`` with ``stretched``: the values moved and scaled to lie from low to high."""
+    ends = rows.agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    share = F.try_divide(F.col(value) - F.col("least"), F.col("most") - F.col("least"))
+    # one row
+    return rows.join(F.broadcast(ends)).withColumn("stretched", low + share * (high - low)).drop("least", "most")
+
+
 def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by, n, spearman): Pearson correlation of average ranks; null below three rows or for a constant."""
     whole = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -80,7 +100,9 @@ def spearman(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def kendall(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """(n, tau): tau-b of a table of at most some thousand rows, one per language (all pairs are compared)."""
+    """(n, tau): tau-b of a table of one row per language; all pairs are compared, so longer tables are an error."""
+    if rows.count() > MOST_COMPARED:
+        raise ValueError(f"more than {MOST_COMPARED} rows to be compared in pairs")
     a = rows.select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya"))
     b = rows.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     pairs = a.join(b, F.col("ka") < F.col("kb"))

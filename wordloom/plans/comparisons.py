@@ -81,8 +81,7 @@ def a65_key_values(s: SparkSession, d: str) -> DataFrame:
     """Probability of each word of a language and its mean frequency over lines."""
     keyed = frequency.cleaned(_lines(s, d)).groupBy("lang", "word").agg(F.sum("frequency").alias("f"), F.count(F.lit(1)).alias("c"))
     total = keyed.groupBy("lang").agg(F.sum("f").alias("total"))
-    # one row per three-letter code
-    both = keyed.join(F.broadcast(total), "lang")
+    both = keyed.join(total, "lang")
     return both.select("lang", "word", rounded(F.col("f") / F.col("total"), 9).alias("probability"), rounded(F.col("f") / F.col("c"), 6).alias("mean"))
 
 
@@ -187,12 +186,63 @@ def r6_several_files(s: SparkSession, d: str) -> DataFrame:
     return _files(s, d).withColumn("lang", F.substring("file", 1, 3)).withColumn("files", n).filter("files >= 2")
 
 
+#: Families whose languages are labelled by genus, with the mark of the family.
+MARKED_FAMILIES = {"Indo-European": "(IE)", "Altaic": "(Alt)"}
+
+
 @query
 def r14_labels(s: SparkSession, d: str) -> DataFrame:
-    """Family and genus as one label, typology shortened."""
-    both = F.col("family").isNotNull() & F.col("genus").isNotNull() & (F.col("family") != F.col("genus"))
-    label = F.when(both, F.concat_ws(" / ", "family", "genus")).otherwise(F.coalesce("family", "genus", F.lit("--")))
-    return table(s, d, "languages").select("iso_code", label.alias("label"), F.upper(F.substring(F.coalesce("typology", F.lit("--")), 1, 3)).alias("short"))
+    """Family as a label (of large families the genus), typology shortened, name with the segmentor where there are two."""
+    label = F.coalesce("family", F.lit(""))
+    for family, mark in MARKED_FAMILIES.items():
+        with_genus = F.when(F.col("genus") != "", F.concat("genus", F.lit(f" {mark}"))).otherwise(mark)
+        label = F.when(F.col("family") == family, with_genus).otherwise(label)
+    name = F.concat(F.coalesce("name", "iso_code"), F.when(F.col("iso_code").isin("deu", "rus"), F.lit(" (Morfo)")).otherwise(F.lit("")))
+    short = F.coalesce(F.substring("typology", 1, 3), F.lit(""))
+    return table(s, d, "languages").select("iso_code", label.alias("label"), short.alias("short"), name.alias("shown"))
+
+
+@query
+def k13_thousands(s: SparkSession, d: str) -> DataFrame:
+    """Words of each language in thousands, as a table shows them."""
+    return _words(s, d).groupBy("lang").agg(F.format_string("%.1f", F.count(F.lit(1)) / 1000).alias("types"))
+
+
+@query
+def w8_renumbered(s: SparkSession, d: str) -> DataFrame:
+    """Languages renumbered by the mean and the best of their places in four rankings."""
+    names = ("foreign_script_pct", "long_outlier_pct", "punct_char_pct", "program_pct")
+    means = _latest_quality(s, d).groupBy("lang").agg(*(rounded(F.avg(n), 8).alias(n) for n in names))
+    whole = Window.partitionBy(F.lit(0))  # one row per three-letter code
+    placed = means.select("lang", *(F.row_number().over(whole.orderBy(n, "lang")).alias(n) for n in names))
+    places = placed.select("lang", F.explode(F.array(*names)).alias("pos"))
+    per = places.groupBy("lang").agg(F.avg("pos").alias("mean_place"), F.min("pos").alias("best_place"))
+    return per.withColumn("place", F.row_number().over(whole.orderBy("mean_place", "best_place", "lang")))
+
+
+MEASURES = ("foreign_script_pct", "long_outlier_pct", "punct_char_pct", "program_pct", "corrupted_pct", "total_types")
+
+
+@query
+def a56_matrix(s: SparkSession, d: str) -> DataFrame:
+    """Correlation of every two measures of the files, in one pass."""
+    return _round(statistics.correlations(_latest_quality(s, d), MEASURES), "pearson")
+
+
+@query
+def r20_script_groups(s: SparkSession, d: str) -> DataFrame:
+    """Checked files by group of scripts."""
+    group = F.lit("Other")
+    for name, codes in T.SCRIPT_GROUPS.items():
+        group = F.when(F.col("script").isin(*codes), name).otherwise(group)
+    return _latest_quality(s, d).filter("script is not null").groupBy(group.alias("grp")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def x41_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Logarithms of the tokens of each language, at least one, stretched to 5 to 400."""
+    tokens = _lines(s, d).groupBy("lang").agg(F.log10(F.greatest(F.sum("frequency"), F.lit(1)).cast("double")).alias("v"))
+    return statistics.stretched(tokens, "v", 5.0, 400.0).select("lang", rounded("stretched", 4).alias("size"))
 
 
 @query
@@ -238,11 +288,12 @@ def j22_script_names(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def k4_script_table(s: SparkSession, d: str) -> DataFrame:
-    """Share of each script in the sampled letters of a language, one column per script."""
+    """Share of each script in the sampled letters of a language, one column per script and one for all others."""
     letters = filters.script_letters(filters.sampled_lines(_lines(s, d)))
-    wide = letters.groupBy("lang").pivot("script", list(T.SCRIPT_CODES.values())).agg(F.sum("letters")).na.fill(0)
-    total = letters.groupBy("lang").agg(F.sum("letters").alias("total"))
-    return wide.join(total, "lang").select("lang", *(rounded(F.col(n) * 100.0 / F.col("total"), 4).alias(n.lower()) for n in T.SCRIPT_CODES.values()))
+    names = [*T.SCRIPTS, "Other"]
+    wide = letters.groupBy("lang").pivot("script", names).agg(F.sum("letters")).na.fill(0)
+    total = sum((F.col(n) for n in names), F.lit(0))
+    return wide.select("lang", *(rounded(F.col(n) * 100.0 / total, 4).alias(n.lower()) for n in names))
 
 
 @query
@@ -268,15 +319,14 @@ def x18_file_parts(s: SparkSession, d: str) -> DataFrame:
 def x44_numbers_in_lines(s: SparkSession, d: str) -> DataFrame:
     """Lines of each file whose second field is a number, whatever separates the fields, and the sum of these numbers."""
     field = F.trim(F.split_part(F.regexp_replace("line", r"[|;,\t]", "|"), F.lit("|"), F.lit(2)))
-    rows = table(s, d, "raw_lines").filter("line is not null and file is not null").select("file", F.when(field.rlike(r"^[0-9]{1,15}$"), field).cast("bigint").alias("v"))
+    rows = table(s, d, "raw_lines").filter("line is not null and file is not null").select("file", F.when(field.rlike("^[0-9]+$"), field).try_cast("bigint").alias("v"))
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count("v").alias("numbers"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
 
 
 @query
 def x45_endings(s: SparkSession, d: str) -> DataFrame:
     """Words of each language by their last two letters."""
-    words = _words(s, d).filter(F.length("word") >= 4)
-    return words.groupBy("lang", F.right("word", F.lit(2)).alias("ending")).agg(F.count(F.lit(1)).alias("words"), F.sum("frequency").alias("tokens"))
+    return _words(s, d).groupBy("lang", F.right("word", F.lit(2)).alias("ending")).agg(F.count(F.lit(1)).alias("words"), F.sum("frequency").alias("tokens"))
 
 
 assert not set(QUERIES) & set(CORE)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from wordloom.plans.oracle import COVER, IGNORED, LANG_VALUES, LINES, PAIRS, POINTS, QUAL, RANKED, SCRIPT, SEG, WORDS, CLEAN
+from wordloom.functions.text import SCRIPTS
+from wordloom.plans.oracle import COVER, IGNORED, LANG_VALUES, LINES, PAIRS, POINTS, QUAL, RANKED, SCRIPT, SCRIPT_NAMES, SEG, WORDS, CLEAN
 
 _SCRIPT = SCRIPT  # needs LINES, which IGNORED brings
 ALL_IGNORED = f"""{IGNORED}, {_SCRIPT},
-of_main as (select s.lang, s.file, m.script as main, sum(case when s.script = m.script then s.pct else 0 end) as pct
+of_main as (select s.lang, s.file, m.script as main, sum(case when s.script = m.script then s.pct else 0 end) as pct,
+    max(case when s.place = 1 then s.script end) as own, max(case when s.place = 1 then s.pct end) as own_pct
   from shares s join lang_scripts m on m.lang = s.lang and m.place = 1 group by s.lang, s.file, m.script),
 all_ignored as (select file, reason, row_number() over (partition by file order by priority, reason) as nth from (
   select file, reason, 0 as priority from overlap_ignored
-  union all select file, 'only ' || printf('%.1f', round(pct, 1)) || '% ' || main, 1 from of_main where pct < 75)),
+  union all select file, case when own = main then 'lang script ' || main || ' only ' || printf('%.1f', pct) || '% in file (need >= 75.0%)'
+    else 'file is ' || printf('%.1f', own_pct) || '% ' || own || ', but lang script is ' || main || ' (only ' || printf('%.1f', pct) || '% in file, need >= 75.0%)' end, 1
+  from of_main where pct < 75)),
 ignored as (select file, reason from all_ignored where nth = 1)"""
+MEASURES = ("foreign_script_pct", "long_outlier_pct", "punct_char_pct", "program_pct", "corrupted_pct", "total_types")
 FILES = "files as (select distinct file, substr(file, 1, 3) as lang, split_part(file, '_', 2) as kind from raw_freq where file is not null)"
 _RSS = "(regr_syy({y}, {x}) - coalesce(regr_sxy({y}, {x}) * regr_sxy({y}, {x}) / nullif(regr_sxx({y}, {x}), 0), 0))"
 _ELBOW = f"""splits as (select p.lang, p.x, {_RSS.format(y="case when q.x <= p.x then q.y end", x="q.x")} + {_RSS.format(y="case when q.x >= p.x then q.y end", x="q.x")} as sse
@@ -77,8 +82,20 @@ ORACLE: dict[str, str] = {
     "a69_extremes": f"""with {QUAL}, r as (select lang, file, row_number() over (partition by lang order by corrupted_pct, file) as a, row_number() over (partition by lang order by corrupted_pct desc, file) as b
       from q where corrupted_pct is not null) select lang, max(file) filter (where a = 1) as least, max(file) filter (where b = 1) as most from r group by lang""",
     "r6_several_files": f"with {FILES} select * from (select file, lang, count(*) over (partition by lang)::bigint as files from files) where files >= 2",
-    "r14_labels": """select iso_code, case when family <> genus then family || ' / ' || genus else coalesce(family, genus, '--') end as label,
-      upper(substr(coalesce(typology, '--'), 1, 3)) as short from languages""",
+    "r14_labels": """select iso_code, case family when 'Indo-European' then case when genus <> '' then genus || ' (IE)' else '(IE)' end
+      when 'Altaic' then case when genus <> '' then genus || ' (Alt)' else '(Alt)' end else coalesce(family, '') end as label,
+      coalesce(substr(typology, 1, 3), '') as short, coalesce(name, iso_code) || case when iso_code in ('deu', 'rus') then ' (Morfo)' else '' end as shown from languages""",
+    "k13_thousands": f"""with {WORDS} select lang, printf('%.1f', count(*) / 1000.0) as types from words group by lang""",
+    "w8_renumbered": f"""with {QUAL}, m as (select lang, avg(foreign_script_pct) as a, avg(long_outlier_pct) as b, avg(punct_char_pct) as c, avg(program_pct) as d from q group by lang),
+      r as (select lang, unnest([row_number() over (order by round(a, 8), lang), row_number() over (order by round(b, 8), lang), row_number() over (order by round(c, 8), lang), row_number() over (order by round(d, 8), lang)]) as pos from m),
+      g as (select lang, avg(pos) as mean_place, min(pos)::int as best_place from r group by lang)
+      select *, row_number() over (order by mean_place, best_place, lang)::int as place from g""",
+    "a56_matrix": f"""with {QUAL}, v as (select """ + ", ".join(f"{n}::double as {n}" for n in MEASURES) + " from q) "
+    + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as pearson from v" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]),
+    "r20_script_groups": f"""with {QUAL} select case when script = 'Latn' then 'Latin' when script = 'Cyrl' then 'Cyrillic' when script in ('Grek', 'Armn', 'Geor') then 'Other Alphabet'
+      else 'Other' end as grp, count(*)::bigint as files from q where script is not null group by 1""",
+    "x41_sizes": f"""with {LINES}, t as (select lang, log10(greatest(sum(frequency), 1)::double) as v from lines group by lang)
+      select lang, round(5 + (v - min(v) over ()) / (max(v) over () - min(v) over ()) * 395, 4) as size from t""",
     "r19_source_groups": f"""with {LINES}, t as (select file, sum(frequency)::bigint as tokens from lines group by file)
       select case when k in ('news', 'radio', 'letters') then 'press' when k in ('wiki', 'law', 'school') then 'reference' when k in ('web', 'forum') then 'web' else 'other' end as grp,
       count(*)::bigint as files, sum(tokens)::bigint as tokens from (select *, split_part(file, '_', 2) as k from t) group by 1""",
@@ -87,16 +104,16 @@ ORACLE: dict[str, str] = {
       select lang, types, tokens, coalesce(nullif(trim(name), ''), lang) as name, family from t left join languages on iso_code = lang""",
     "j14_inner_results": f"""with {WORDS}, {QUAL}, {SEG} select * from (select lang, count(*)::bigint as types from words group by lang)
       join (select lang, round(avg(punct_char_pct), 8) as punct from q group by lang) using (lang) join (select substr(file, 1, 3) as lang, count(distinct word)::bigint as segmented from seg group by 1) using (lang)""",
-    "j22_script_names": f"with {QUAL} select file, case script when 'Latn' then 'Latin' when 'Cyrl' then 'Cyrillic' when 'Grek' then 'Greek' when 'Geor' then 'Georgian' else script end as script from q",
+    "j22_script_names": f"with {QUAL} select file, case script {SCRIPT_NAMES} else script end as script from q",
     "k4_script_table": f"with {LINES}, {SCRIPT} select lang, "
-    + ", ".join(f"round(coalesce(sum(letters) filter (where script = '{n}'), 0) * 100.0 / sum(letters)::double, 4) as {n.lower()}" for n in ("Latin", "Cyrillic", "Greek", "Georgian"))
+    + ", ".join(f"round(coalesce(sum(letters) filter (where script = '{n}'), 0) * 100.0 / sum(letters)::double, 4) as {n.lower()}" for n in (*SCRIPTS, "Other"))
     + " from per_script group by lang",
     "k19_output_names": f"""with {FILES}, f as (select *, replace(file, '.csv', '') as stem, count(*) over (partition by lang, kind) as n from files)
       select file, lang || '-' || kind || case when n = 1 then '' else '-' || split_part(stem, '_', 3) || '-' || split_part(stem, '_', 4) end || '.csv' as name from f""",
     "x18_file_parts": rf"""with {FILES}, p as (select file, regexp_extract(file, '^(.{{3}})_([^_]+)_(\d+)_(\d+)\.csv$', ['a', 'b', 'c', 'd']) as p from files)
       select file, p.a as lang, p.b as kind, try_cast(p.c as bigint) as year, try_cast(p.d as bigint) as number from p""",
     "x44_numbers_in_lines": r"""with v as (select file, trim(split_part(regexp_replace(line, '[|;,\t]', '|', 'g'), '|', 2), ' ') as x from raw_lines where line is not null and file is not null),
-      n as (select file, case when regexp_matches(x, '^[0-9]{1,15}$') then x::bigint end as v from v)
+      n as (select file, case when regexp_matches(x, '^[0-9]+$') then try_cast(x as bigint) end as v from v)
       select file, count(*)::bigint as lines, count(v)::bigint as numbers, coalesce(sum(v), 0)::bigint as total from n group by file""",
-    "x45_endings": f"with {WORDS} select lang, right(word, 2) as ending, count(*)::bigint as words, sum(frequency)::bigint as tokens from words where length(word) >= 4 group by 1, 2",
+    "x45_endings": f"with {WORDS} select lang, right(word, 2) as ending, count(*)::bigint as words, sum(frequency)::bigint as tokens from words group by 1, 2",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.functions.text import ENGLISH_WORDS, SCRIPTS, STRIP_CHARS
+from wordloom.functions.text import ENGLISH_WORDS, SCRIPT_CODES, SCRIPTS, STRIP_CHARS
 from wordloom.operators.frequency import LEVELS
 
 _STRIP = STRIP_CHARS.replace("'", "''")
@@ -59,9 +59,10 @@ steps as (select lang, list({{'v': case when share_a_pct >= share_b_pct then fil
     'p': greatest(share_a_pct, share_b_pct), 'ig': []::varchar[], 're': []::varchar[]}} order by place) as s
   from top where greatest(share_a_pct, share_b_pct) > 6.0 group by lang),
 folded as (select lang, list_reduce(s, lambda a, e: case when list_contains(a.ig, e.v) or list_contains(a.ig, e.o) then a
-    else {{'v': a.v, 'o': a.o, 'p': a.p, 'ig': list_append(a.ig, e.v), 're': list_append(a.re, printf('%.2f', e.p) || '% overlap with ' || e.o)}} end,
+    else {{'v': a.v, 'o': a.o, 'p': a.p, 'ig': list_append(a.ig, e.v), 're': list_append(a.re, printf('%.1f', e.p) || '% hapax overlap with ' || e.o)}} end,
   {{'v': '', 'o': '', 'p': 0.0::double, 'ig': []::varchar[], 're': []::varchar[]}}) as f from steps),
 overlap_ignored as (select lang, unnest(f.ig) as file, unnest(f.re) as reason from folded)"""
+SCRIPT_NAMES = " ".join(f"when '{code}' then '{name}'" for code, name in SCRIPT_CODES.items())
 _SCRIPT_CASE = "case " + " ".join(rf"when regexp_matches(ch, '\p{{{name}}}') then '{name}'" for name in SCRIPTS) + " else 'Other' end"
 SCRIPT = rf"""letters0 as (select lang, file, ord, list_filter(string_split(word, ''), lambda c: regexp_matches(c, '\p{{L}}')) as l
   from lines where ord % 5 = 0 and ord < 50000),
@@ -93,14 +94,14 @@ vals as (select p.*, l.family, l.genus, l.typology from per_lang p join language
 _PARTS = ("morphs", "roots", "affixes", "prefixes", "suffixes")
 _AVG = ", ".join(f"round(avg({'n' if p == 'morphs' else p}), 6) as avg_{p}, round(sum({'n' if p == 'morphs' else p} * frequency) / sum(frequency), 6) as weighted_{p}" for p in _PARTS)
 _FLAGS = rf"""{LINES},
-sc as (select substr(file, 1, 3) as lang, min(case regexp_extract(file, '_([A-Z][a-z]{{3}})\.tsv$', 1)
-  when 'Latn' then 'Latin' when 'Cyrl' then 'Cyrillic' when 'Grek' then 'Greek' when 'Geor' then 'Georgian' end) as script
+sc as (select substr(file, 1, 3) as lang, min(case regexp_extract(file, '_([A-Z][a-z]{{3}})\.tsv$', 1) {SCRIPT_NAMES} end) as script
   from segmented where file is not null group by 1),
-sized as (select *, length(word) as size, length(word) - length(regexp_replace(word, '[".,?!;:/\\@#$%^&*~`<>|+=_()\[\]{{}}]', '', 'g')) as puncts,
-  length(regexp_replace(word, '[^\p{{Latin}}]', '', 'g')) as la, length(regexp_replace(word, '[^\p{{Cyrillic}}]', '', 'g')) as cy,
-  length(regexp_replace(word, '[^\p{{Greek}}]', '', 'g')) as gr, length(regexp_replace(word, '[^\p{{Georgian}}]', '', 'g')) as ge from lines),
-domi as (select *, case when greatest(la, cy, gr, ge) = 0 then 'Common' when la = greatest(la, cy, gr, ge) then 'Latin'
-  when cy = greatest(la, cy, gr, ge) then 'Cyrillic' when gr = greatest(la, cy, gr, ge) then 'Greek' else 'Georgian' end as dom from sized),
+sized as (select *, length(word) as size, length(word) - length(regexp_replace(word, '[".,?!;:/\\@#$%^&*~`<>|+=_()\[\]{{}}]', '', 'g')) as puncts from lines),
+signs as (select word, unnest(string_split(word, '')) as ch, unnest(range(length(word))) as pos from (select distinct word from lines)),
+told as (select word, script, count(*) as n, min(pos) as first from (select word, pos, {_SCRIPT_CASE} as script from signs where regexp_matches(ch, '\p{{L}}'))
+  where script <> 'Other' group by 1, 2),
+doms as (select word, script as dom from (select *, row_number() over (partition by word order by n desc, first) as place from told) where place = 1),
+domi as (select s.*, coalesce(d.dom, 'Common') as dom from sized s left join doms d using (word)),
 lim as (select file, quantile_cont(size, 0.75) + 3.0 * (quantile_cont(size, 0.75) - quantile_cont(size, 0.25)) as long_threshold from sized group by file),
 flags as (select d.*, l.long_threshold, size > l.long_threshold as is_long, coalesce(dom <> sc.script and dom <> 'Common', false) as is_foreign,
   regexp_matches(lower(word), 'www|http') or regexp_matches(word, '[{{}}\\@]') or length(word) - length(replace(word, '.', '')) > 1
@@ -111,6 +112,8 @@ lim20 as (select file, quantile_cont(size, 0.75) + 1.5 * (quantile_cont(size, 0.
 top20 as (select file, t, 100.0::double * count(*) filter (where size > t) / count(*) as pct from best join lim20 using (file) group by file, t)"""
 _ENG = ", ".join(f"'{w}'" for w in ENGLISH_WORDS)
 
+_KINDS = ("forum", "law", "letters", "news", "radio", "school", "web", "wiki")
+
 ORACLE: dict[str, str] = {
     "s1_lists": f"with {LINES}, per as (select file, word, count(*) as n, sum(frequency) as f from lines group by file, word) "
     "select file, sum(n)::bigint as lines, count(*)::bigint as types, sum(f)::bigint as tokens from per group by file",
@@ -133,7 +136,7 @@ ORACLE: dict[str, str] = {
       k as (select *, {_clean("word")} as c, length(trim(word, '{_STRIP}')) as left_over from lines),
       per as (select lang, file, sum(frequency)::bigint as tokens_raw,
         coalesce(sum(frequency) filter (where regexp_matches(c, '[\p{{L}}\p{{Nl}}\p{{No}}]')), 0)::bigint as tokens_clean,
-        count(distinct word)::bigint as types_raw, round(avg(length(word) - left_over), 6) as avg_stripped from k group by lang, file),
+        count(distinct word)::bigint as types_raw, round(sum(case when left_over > 0 then frequency * (length(word) - left_over) else 0 end)::double / sum(frequency), 4) as avg_stripped from k group by lang, file),
       prs as (select distinct lang, file, word from cleaned),
       fst as (select lang, word, min(file) as file from prs group by lang, word)
       select per.*, coalesce(t.types, 0) as types, coalesce(f.new_types, 0) as new_types, types_raw - coalesce(t.types, 0) as ignored
@@ -149,10 +152,12 @@ ORACLE: dict[str, str] = {
     "w1_ranked": f"with {RANKED} select lang, word, frequency, rank, tokens_upto::bigint as tokens_upto from ranked",
     "w3_coverage": f"with {COVER} select * from coverage",
     "k7_wide_coverage": f"with {COVER} select lang, "
-    + ", ".join(f"max({w}) filter (where level = {p}) as cov_{n}_{w}" for p, n in ((50, "50"), (90.5, "90_5"), (94, "94"), (100, "100")) for w in ("types", "tokens"))
+    + ", ".join(f"max({w}) filter (where level = {p}) as cov_{n}_{w}" for p, n in ((level, f"{level:g}".replace(".", "_")) for level in LEVELS) for w in ("types", "tokens"))
     + " from coverage group by lang",
     "w4_shares": f"with {SPEC} select lang, frequency, n, round(frequency / tokens::double, 6) as share, round(tokens_upto / tokens::double, 6) as covered from spec",
     "t2_truncated": f"with {COVER} select r.lang, word, frequency, round(frequency / tokens::double * 1e6, 3) as ppm from ranked r join cover c on c.lang = r.lang and level = 94 and rank <= k",
+    "w10_truncated_by_chance": f"""with {COVER}, drawn as (select *, row_number() over (partition by lang order by frequency desc, md5(word || ':42'), word) as place from ranked)
+      select r.lang, word, frequency, round(frequency / tokens::double * 1e6, 3) as ppm from drawn r join cover c on c.lang = r.lang and level = 94 and place <= k""",
     "t3_top_languages": f"with {WORDS} select lang, sum(frequency)::bigint as tokens from words group by lang order by tokens desc, lang limit 5",
     "r4_chosen_languages": f"with {WORDS} select lang, sum(frequency)::bigint as tokens from words where lang in ('nan', 'dei', 'rai') group by lang",
     "a7_hapaxes": f"with {HAPAX} select * from sizes",
@@ -210,8 +215,8 @@ ORACLE: dict[str, str] = {
     "a45_grouped": f"""with {QUAL} select lang, count(program_pct)::bigint as n, round(avg(program_pct), 10) as mean, round(median(program_pct), 10) as median,
       round(stddev_samp(program_pct), 10) as std, count(distinct script)::bigint as scripts from q group by lang""",
     "a48_pivot": f"with {LINES} select lang, "
-    + ", ".join(f"count(*) filter (where split_part(file, '_', 2) = '{k}') as {k}" for k in ("forum", "law", "letters", "news", "radio", "school", "web", "wiki"))
-    + " from lines group by lang",
+    + ", ".join(f"count(*) filter (where split_part(file, '_', 2) = '{k}') as {k}" for k in _KINDS)
+    + f", count(*) filter (where split_part(file, '_', 2) not in {_KINDS}) as other from lines group by lang",
     "a49_row_shares": f"""with {LINES}, t as (select lang, split_part(file, '_', 2) as kind, sum(frequency)::bigint as tokens from lines group by 1, 2)
       select *, round(tokens / (sum(tokens) over (partition by lang))::double, 6) as share from t""",
     "a52_normalised": f"""with {QUAL}, m as (select lang, avg(punct_char_pct) as value from q group by lang)

@@ -87,7 +87,7 @@ def x8_word_signs(s: SparkSession, d: str) -> DataFrame:
 @query
 def x6_dominant_script(s: SparkSession, d: str) -> DataFrame:
     words = _lines(s, d).select("lang", "word").distinct()
-    return words.groupBy("lang", quality.dominant_script(F.col("word")).alias("script")).agg(F.count(F.lit(1)).alias("words"))
+    return words.groupBy("lang", T.dominant_script(F.col("word")).alias("script")).agg(F.count(F.lit(1)).alias("words"))
 
 
 @query
@@ -113,7 +113,7 @@ def a1_merged(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def a3_merge_report(s: SparkSession, d: str) -> DataFrame:
-    return _round(frequency.merge_report(_lines(s, d)), "avg_stripped")
+    return _round(frequency.merge_report(_lines(s, d)), "avg_stripped", places=4)
 
 
 @query
@@ -138,8 +138,8 @@ def w3_coverage(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def k7_wide_coverage(s: SparkSession, d: str) -> DataFrame:
-    levels = (50.0, 90.5, 94.0, 100.0)
-    return frequency.wide_coverage(frequency.coverage(_words(s, d), levels), levels)
+    """All coverage levels of a language in one row."""
+    return frequency.wide_coverage(frequency.coverage(_words(s, d)))
 
 
 @query
@@ -310,10 +310,11 @@ def a45_grouped(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def a48_pivot(s: SparkSession, d: str) -> DataFrame:
-    """Lines of each language by source kind, one column per kind."""
+    """Lines of each language by source kind, one column per kind; kinds beyond these are counted together."""
     kinds = ["forum", "law", "letters", "news", "radio", "school", "web", "wiki"]
-    rows = _lines(s, d).withColumn("kind", F.split_part("file", F.lit("_"), F.lit(2)))
-    return rows.groupBy("lang").pivot("kind", kinds).agg(F.count(F.lit(1))).na.fill(0)
+    kind = F.split_part("file", F.lit("_"), F.lit(2))
+    rows = _lines(s, d).withColumn("kind", F.when(kind.isin(kinds), kind).otherwise("other"))
+    return rows.groupBy("lang").pivot("kind", [*kinds, "other"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query

@@ -35,13 +35,15 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` materialised in the cluster's shared checkpoint folder, its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where none is set, a session
+    on one machine (tests) gets a temporary one; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wordloom-checkpoint-"))
     return df.checkpoint()
 
