@@ -30,7 +30,7 @@ from wordloom.llm import tokens
 #: Documents of a shard, on average; shards are hashed, so their sizes vary by a few per cent.
 SHARD_DOCS = 4000
 #: Room that may be left in a container, as a share of its capacity.
-SPARE = 0.01
+SPARE = 0.001
 K1, B = 1.2, 0.75
 
 
