@@ -91,6 +91,8 @@ def line_keys(raw_lines: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of one range of the sort.
+RANGE_ROWS = 250_000
 _SCAN = "part int, first string, last string, tbl string, rep bigint, id bigint, head boolean"
 
 
@@ -149,11 +151,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def copies(keyed: DataFrame) -> DataFrame:
     """(tbl, key_a, key_b): the smallest id of each set of equal (tbl, file, key) with each other id."""
     spark = keyed.sparkSession
-    order = ["tbl", "file", "key", "id"]
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the keys are needed twice: for the bounds of the ranges and for the sort
-    keyed = keyed.select(*order).persist(StorageLevel.MEMORY_AND_DISK)
-    scanned = checkpointed(keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_scan, _SCAN))
+    columns = ["tbl", "file", "key", "id"]
+    # a number sorts faster than texts; full keys are compared where it is equal
+    order = ["digest", *columns]
+    # the keys are needed for their number, for the bounds of the ranges and for the sort
+    keyed = keyed.select(F.xxhash64("tbl", "file", "key").alias("digest"), *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    # an explicit number of ranges is not split later, so it grows with the rows
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // RANGE_ROWS))
+    sorted_rows = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(*columns)
+    scanned = checkpointed(sorted_rows.mapInArrow(_scan, _SCAN))
     keyed.unpersist()
     carried, last, rep = [], None, None
     for row in scanned.filter("id is null").select("part", "first", "last", "rep").orderBy("part").collect():  # one per range
