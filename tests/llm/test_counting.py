@@ -93,3 +93,17 @@ def test_word_copies(spark):
     got = format_copies.format_copies(_raw(spark, rows), spark.createDataFrame([], "line_id bigint, file string, line string"))
     assert {tuple(r) for r in got.collect()} == {("raw_freq", 1, 2), ("raw_freq", 1, 3)}
     assert unicodedata.category("-")[0] == "P"
+
+
+def test_blocks_and_ranges_sum_like_plain_counts(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(draw.choice(("aaa", "bbb")), f"f{i % 9}", draw.choice(["hot"] * 5 + list("abcdefgh")), draw.randint(1, 9)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "lang string, file string, term string, total bigint")
+    monkeypatch.setattr(terms, "BLOCK_TERMS", 50)  # many blocks
+    expected = defaultdict(lambda: [0, 0])
+    for lang, _, term, total in rows:
+        expected[lang, term][0] += total
+        expected[lang, term][1] += 1
+    got = terms.term_counts(frame).collect()
+    assert {(r.lang, r.term): [r.total, r.files] for r in got} == expected
+    assert len({r.term_id for r in got}) == len(got)

@@ -135,3 +135,34 @@ def test_centres_agree():
     for n, width in ((50, 7), (200, 31), (10, 11), (64, 16)):
         hashes = draw.integers(0, 40, n).astype(np.uint64)
         assert set(spans.centres(hashes, width).tolist()) == set(spans._centres_by_doubling(hashes, width).tolist() if n >= width else [])
+
+
+def test_aliases_and_long_values(spark):
+    matcher = names.Names(LIST, [("fon", "Fonic Coast"), ("zzz", "Nowhere")])
+    assert matcher.match("fonic coast lang") == "fon" and matcher.match("Nowhere") is None
+    long = "Kergösmous " + "and other words of no matter " * 400
+    assert matcher.match(long) is None and names.Names([("lng", "x" * 300 + " abc")]).match("x" * 299 + " abc") == "lng"
+    typed = spark.createDataFrame([("a", 1, None, "Fonic Coast"), ("a", 2, "war", None), ("a", 3, None, "Fonic Coast")], "tbl string, entry_id bigint, code string, name string")
+    got = names.match_names(typed, spark.createDataFrame(LIST, "iso_code string, name string"), spark.createDataFrame([("fon", "Fonic Coast")], "iso_code string, name string"))
+    assert {(r.entry_id, r.iso_code) for r in got.collect()} == {(1, "fon"), (2, None), (3, "fon")}
+
+
+def test_a_notice_in_many_documents_makes_no_pairs(spark):
+    """One notice of 300 characters in all documents: as many spans as documents times starts, no pairs."""
+    draw = random.Random(8)
+    notice = "".join(draw.choice("abcdefgh \n") for _ in range(300))
+    rows = [(i, "".join(draw.choice("abcdefgh \n") for _ in range(50)) + notice + "".join(draw.choice("ijkl") for _ in range(50)), 0, "x") for i in range(120)]
+    frame = spark.createDataFrame(rows, DOCS)
+    held = spans._shared(spans.window_keys(frame, 200, 100), "key").select("key", "doc_id")
+    starts = spans.shared_starts(held, frame, 200, 100)
+    assert starts.count() <= 120 * 101 and spans._leading(starts).count() <= 3 * 120
+    assert {r.shared_chars for r in spans.shared_characters(frame).collect()} == {300}
+    assert spans.sharing_pairs(frame).count() == 120 * 119 // 2
+
+
+def test_intervals_rule_out_windows_that_hold_no_span():
+    hasher = spans.Hasher()
+    n = hasher.load("".join(random.Random(9).choice("abcdefgh") for _ in range(500)))
+    keys, window, side = spans.side_keys(hasher, n, 200, 100)
+    assert len(keys) == len(window) == len(side) and (window[:, 2] - window[:, 0] >= 100).all()
+    assert ((window[:, 0] <= window[:, 1]) & (window[:, 1] <= window[:, 2])).all()

@@ -6,7 +6,8 @@ place of letters); the longest matches that do not overlap win. A name and an ar
 for the entry with that word. What is left over of a value must be words that say nothing (a fixed
 list); values with other words left go to token-set similarity: entries that share letter pairs with
 the value's words are candidates, each word is compared with the entry's words by edits, and the
-nearest entry is taken if it is near enough. Values are handled row by row without a shuffle.
+nearest entry is taken if it is near enough. Each distinct value is matched once. Further names of
+entries may be given as a table.
 
 Edge cases: null, empty and filler values stand for nothing; repeated rows are matched each; ties of
 similarity are decided by the entry's code, then by its order in the list; very long values are
@@ -76,8 +77,8 @@ def near_enough(size: int) -> int:
 class Names:
     """The canonical list, prepared for matching."""
 
-    def __init__(self, entries: list[tuple[str, str]]) -> None:
-        """``entries``: (code, name)."""
+    def __init__(self, entries: list[tuple[str, str]], aliases: list[tuple[str, str]] = ()) -> None:
+        """``entries``: (code, name); ``aliases``: (code, other name) of entries of the list."""
         folded = [(code, fold(name)) for code, name in entries if code and name and fold(name)]
         known = {name for _, name in folded}
         # words of area or age: those that, before or after a listed name, make another listed name
@@ -111,6 +112,11 @@ class Names:
                 for ending in ENDINGS:
                     if len(stem) >= 3:
                         self.forms.setdefault(stem + ending, base)
+        base_of = {code: base for (base, area), code in reversed(self.by_base.items()) if not area}
+        for code, alias in aliases:
+            if code in base_of and alias and fold(alias):
+                self.forms.setdefault(fold(alias), base_of[code])
+        self.longest = max(map(len, self.forms), default=0)
         self.automaton = ahocorasick.Automaton()
         for form, base in self.forms.items():
             self.automaton.add_word(f" {form} ", ("name", base, len(form) + 2))
@@ -129,6 +135,7 @@ class Names:
         for (base, area), code in self.by_base.items():
             for words in ((area, base), (base, area)):
                 self.whole.setdefault("".join(words).replace(" ", ""), code)
+        self.longest_whole = max(map(len, self.whole), default=0)
         for name in self.whole:
             for pair in self._pairs(name):
                 self.whole_pairs[pair].append(name)
@@ -175,9 +182,9 @@ class Names:
         for wanted, rest in [(area, words)] if area else self._splits(words):
             text = " ".join(rest)
             size = len(text.replace(" ", ""))
-            if not 3 <= size <= 80:
-                continue
             most = near_enough(size)
+            if size < 3 or len(text) > self.longest + most:  # longer than any name may be
+                continue
             shared: Counter[str] = Counter()
             own = self._pairs(text)
             for pair in own:
@@ -245,9 +252,9 @@ class Names:
 
     def similar_whole(self, text: str, code: str | None) -> tuple[int, str] | None:
         """(edits, entry) of the nearest whole name without its blanks."""
-        if not 6 <= len(text) <= 80:
-            return None
         most = near_enough(len(text))
+        if len(text) < 6 or len(text) > self.longest_whole + most:
+            return None
         own = self._pairs(text)
         shared: Counter[str] = Counter()
         for pair in own:
@@ -289,25 +296,25 @@ def read_names(languages: DataFrame) -> list[tuple[str, str]]:
     return sorted((r.iso_code, r.name) for r in rows)
 
 
-def match_names(typed: DataFrame, languages: DataFrame) -> DataFrame:
-    """``typed`` (tbl, entry_id, code, name) plus iso_code, null where the name stands for no entry."""
+def match_names(typed: DataFrame, languages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``typed`` (tbl, entry_id, code, name) plus iso_code, null where the name stands for no entry.
+
+    ``aliases`` (iso_code, name): other names of the list's entries. Each distinct (name, code) is
+    matched once and joined back.
+    """
     entries = read_names(languages)
+    others = read_names(aliases) if aliases is not None else []
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = Names(entries)
-        seen: dict[tuple, str | None] = {}
+        names = Names(entries, others)
         for batch in batches:
-            codes = []
-            for key in zip(batch["name"], batch["code"], strict=True):
-                if key not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen[key] = names.match(*key)
-                codes.append(seen[key])
+            codes = [names.match(*key) for key in zip(batch["name"], batch["code"], strict=True)]
             yield batch.assign(iso_code=pd.Series(codes, dtype=object, index=batch.index))
 
     typed = typed.select("tbl", "entry_id", "code", "name")
-    return typed.mapInPandas(match, "tbl string, entry_id bigint, code string, name string, iso_code string")
+    known = typed.select("name", "code").distinct().mapInPandas(match, "name string, code string, iso_code string").alias("k")
+    same = F.col("t.name").eqNullSafe(F.col("k.name")) & F.col("t.code").eqNullSafe(F.col("k.code"))
+    return typed.alias("t").join(known, same, "left").select("t.tbl", "t.entry_id", "t.code", "t.name", "k.iso_code")
 
 
 def typed_names(lepzig_shortcuts: DataFrame, ud_language_mapping: DataFrame) -> DataFrame:
