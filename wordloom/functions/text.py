@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Signs taken off both ends of a word.
 STRIP_CHARS = '.,?!":()…“ ”„‟‘’«»'
+# Signs taken off both ends of a word of running text.
+TEXT_STRIP_CHARS = ".,;:!?\"'()[]{}«»—–-…·"
 # Signs counted as punctuation in words.
 KNOWN_PUNCT = '".,?!;:/\\@#$%^&*~`<>|+=_()[]{}'
 # English words that tell of foreign text.
@@ -23,6 +25,12 @@ SCRIPT_CODES = {
     "Tfng": "Tifinagh", "Vaii": "Vai", "Ital": "Old_Italic", "Goth": "Gothic", "Dsrt": "Deseret", "Cprt": "Cypriot", "Olck": "Ol_Chiki",
 }
 SCRIPTS = tuple(SCRIPT_CODES.values())
+# Kinds of scripts by code; the kind of others is not known.
+SCRIPT_TYPES = {
+    "Latn": "alphabet", "Grek": "alphabet", "Cyrl": "alphabet", "Armn": "alphabet", "Hebr": "abjad", "Arab": "abjad", "Thaa": "abjad", "Deva": "abugida",
+    "Beng": "abugida", "Guru": "abugida", "Gujr": "abugida", "Orya": "abugida", "Taml": "abugida", "Telu": "abugida", "Knda": "abugida", "Mlym": "abugida",
+    "Sinh": "abugida", "Thai": "abugida", "Geor": "alphabet", "Hang": "syllabary", "Ethi": "ethiopic", "Cans": "syllabary", "Hani": "logographic",
+}
 #: Groups of scripts by code; others are 'Other'.
 SCRIPT_GROUPS = {
     "Latin": ("Latn",), "Cyrillic": ("Cyrl",), "Other Alphabet": ("Grek", "Armn", "Geor"), "Arabic": ("Arab",), "Other Abjad": ("Hebr", "Syrc", "Thaa"),
@@ -40,6 +48,12 @@ def stripped(word: Column) -> Column:
     return F.btrim(word, F.lit(STRIP_CHARS))
 
 
+def clean_text_word(word: Column) -> Column:
+    """A word of running text without signs at its ends, in lower case; null if no letter is left."""
+    key = F.lower(F.btrim(word, F.lit(TEXT_STRIP_CHARS)))
+    return F.when(has_letter(key), key)
+
+
 def clean_word(word: Column) -> Column:
     """The word without signs at its ends, in lower case; null if no letter is left."""
     key = F.lower(stripped(word))

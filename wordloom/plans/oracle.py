@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.functions.text import ENGLISH_WORDS, SCRIPT_CODES, SCRIPTS, STRIP_CHARS
+from wordloom.functions.text import ENGLISH_WORDS, SCRIPT_CODES, SCRIPTS, STRIP_CHARS, TEXT_STRIP_CHARS
 from wordloom.operators.frequency import LEVELS
 
 _STRIP = STRIP_CHARS.replace("'", "''")
@@ -120,6 +120,8 @@ ORACLE: dict[str, str] = {
     "s10_sampled": f"with {LINES} select file, count(*)::bigint as sampled, sum(length(word))::bigint as characters from lines where ord % 5 = 0 and ord < 50000 group by file",
     "s21_text_words": rf"with t as (select lang, unnest(regexp_split_to_array(text, '\s+')) as w from documents where text is not null and lang is not null), "
     rf"c as (select lang, {_clean('w')} as word from t) select lang, word, count(*)::bigint as frequency from c where regexp_matches(word, '[\p{{L}}\p{{Nl}}\p{{No}}]') group by lang, word",
+    "x11_text_words": rf"with t as (select lang, unnest(regexp_split_to_array(text, '\s+')) as w from documents where text is not null and lang is not null), "
+    rf"c as (select lang, {_lower("trim(w, '" + TEXT_STRIP_CHARS.replace("'", "''") + "')")} as word from t) select lang, word, count(*)::bigint as frequency from c where regexp_matches(word, '[\p{{L}}\p{{Nl}}\p{{No}}]') group by lang, word",
     "s28_characters": f"with {WORDS} select distinct unnest(string_split(word, '')) as ch from words",
     "x1_clean_words": rf"with {LINES}, w as (select distinct word from lines), c as (select word, {_clean('word')} as k from w) "
     r"select word, case when regexp_matches(k, '[\p{L}\p{Nl}\p{No}]') then k end as clean, regexp_matches(word, '[\p{L}\p{Nl}\p{No}]') as has_letter from c",

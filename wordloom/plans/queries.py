@@ -65,6 +65,14 @@ def s21_text_words(s: SparkSession, d: str) -> DataFrame:
     return frequency.text_words(table(s, d, "documents").filter(F.col("lang").isNotNull()))
 
 
+@query
+def x11_text_words(s: SparkSession, d: str) -> DataFrame:
+    """Word counts of texts by language, with the signs that are taken off words of running text."""
+    words = table(s, d, "documents").filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.explode(F.split("text", r"\s+")).alias("word"))
+    cleaned = words.withColumn("word", T.clean_text_word(F.col("word"))).filter(F.col("word").isNotNull())
+    return cleaned.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("frequency"))
+
+
 @query
 def s28_characters(s: SparkSession, d: str) -> DataFrame:
     return compress.characters(_words(s, d))

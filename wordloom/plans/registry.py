@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.plans import comparisons, comparisons_sql, oracle, queries
+from wordloom.plans import comparisons, comparisons_sql, oracle, queries, results
 
-QUERIES = queries.QUERIES | comparisons.QUERIES
-ORACLE = oracle.ORACLE | comparisons_sql.ORACLE
+QUERIES = queries.QUERIES | comparisons.QUERIES | results.QUERIES
+ORACLE = oracle.ORACLE | comparisons_sql.ORACLE | results.SQL
