@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +157,14 @@ def _shared(keys: DataFrame, *by: str, **more: Column) -> DataFrame:
     return keys.join(counted.filter("low < high").drop("low", "high"), list(by))
 
 
+def shared_windows(documents: DataFrame, span: int, gram: int) -> DataFrame:
+    """The windows whose key stands in more than one document; windows are made once for their count and the join."""
+    keys = window_keys(documents, span, gram).persist(StorageLevel.MEMORY_AND_DISK)
+    shared = checkpointed(_shared(keys, "key"))
+    keys.unpersist()
+    return shared
+
+
 def _pairs(shared: DataFrame, span: int, gram: int) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b, of documents with windows of one key that both hold a span; each pair once."""
     a, b = (shared.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "before", "after"))) for x in "ab")
@@ -283,7 +292,7 @@ def shared_spans(documents: DataFrame, span: int = SPAN, gram: int = GRAM, direc
 
     Of pairs found by keys of more than ``direct`` documents only the first span of each stretch is given.
     """
-    shared = checkpointed(_shared(window_keys(documents, span, gram), "key"))
+    shared = shared_windows(documents, span, gram)
     pairs = checkpointed(_pairs(shared.filter(F.col("members") <= direct), span, gram))
     ids = pairs.select(F.col("doc_a").alias("doc_id")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"))).distinct()
     found = _verified(pairs, _only(documents, checkpointed(ids)), span)
@@ -309,7 +318,7 @@ def shared_characters(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
 
     A span counts if another document has it, whichever; pairs are not made, so ``direct`` is of no account.
     """
-    held = checkpointed(_shared(window_keys(documents, span, gram), "key").select("key", "doc_id"))
+    held = shared_windows(documents, span, gram).select("key", "doc_id")
     starts = shared_starts(held, documents, span, gram).select("doc_id", "first").distinct()
     by_doc = Window.partitionBy("doc_id").orderBy("first")
     # a span adds what lies beyond the end of the one before it
