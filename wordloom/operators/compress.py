@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.frequency import ranked
+
 #: Tokens drawn for one run; a group never holds more rows than this.
 SAMPLE = 20_000
 #: Runs that are averaged.
@@ -20,18 +22,34 @@ def characters(words: DataFrame) -> DataFrame:
     return words.select(F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").distinct().orderBy("ch")
 
 
+#: Parts of equal width into which a language's tokens are cut to look up draws.
+PARTS = 1 << 16
+
+
 def drawn_tokens(words: DataFrame, runs: int, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """(lang, run, word, times): a weighted sample with replacement of about ``sample`` tokens per language and run.
+    """(lang, run, word, times): ``sample`` tokens of each language and run, drawn with replacement.
 
-    Each word is drawn by itself: its share of the sample, rounded up or down by a hash of word, run
-    and seed, so that no language passes through one task.
+    A draw is a place among the language's tokens, ordered as ``ranked`` orders them, by the md5 of
+    language, run, number and seed. Words and draws meet in parts of equal width, so that no language
+    passes through one task.
     """
-    total = words.groupBy("lang").agg(F.sum("frequency").alias("total"))
-    each = words.join(F.broadcast(total), "lang").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    wanted = F.col("frequency") * sample / F.col("total")
-    chance = F.pmod(F.xxhash64("word", "run", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = (F.floor(wanted) + (chance < wanted - F.floor(wanted)).cast("bigint")).cast("int")
-    return each.select("lang", "run", "word", times.alias("times")).filter("times > 0")
+    places = ranked(words).select("lang", "word", (F.col("tokens_upto") - F.col("frequency")).alias("start"), F.col("tokens_upto").alias("stop"))
+    total = words.groupBy("lang").agg(F.sum("frequency").alias("total")).withColumn("width", F.ceil(F.col("total") / PARTS))
+    each = total.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(sample - 1))))
+    digest = F.md5(F.concat_ws(":", "lang", "run", "draw", F.lit(str(seed))))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.col("total")
+    draws = each.select("lang", "run", place.alias("place"), F.floor(place / F.col("width")).alias("part"))
+    first, last = F.floor(F.col("start") / F.col("width")), F.floor((F.col("stop") - 1) / F.col("width"))
+    spread = places.join(total, "lang").select("lang", "word", "start", "stop", F.explode(F.sequence(first, last)).alias("part"))
+    hit = draws.join(spread, ["lang", "part"]).filter((F.col("start") <= F.col("place")) & (F.col("place") < F.col("stop")))
+    return hit.groupBy("lang", "run", "word").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
+def sample_sizes(drawn: DataFrame) -> DataFrame:
+    """(lang, run, unique_chars, tokens, bin_size) of drawn tokens with two bytes for each sign and between tokens."""
+    sizes = drawn.groupBy("lang", "run").agg(F.sum("times").alias("tokens"), (2 * F.sum(F.length("word") * F.col("times")) + 2 * (F.sum("times") - 1)).alias("bin_size"))
+    signs = drawn.select("lang", "run", F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").distinct().groupBy("lang", "run").agg(F.count(F.lit(1)).alias("unique_chars"))
+    return sizes.join(signs, ["lang", "run"])
 
 
 def compression(words: DataFrame, runs: int = RUNS, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
@@ -55,6 +73,11 @@ def compression(words: DataFrame, runs: int = RUNS, sample: int = SAMPLE, seed:
     return drawn_tokens(words, runs, sample, seed).groupBy("lang", "run").applyInPandas(measure, out)
 
 
+def averaged_sizes(runs: DataFrame) -> DataFrame:
+    """Means of the sizes over the runs of each language."""
+    return runs.groupBy("lang").agg(*(F.round(F.avg(c)).cast("bigint").alias(c) for c in ("unique_chars", "tokens", "bin_size")))
+
+
 def averaged(runs: DataFrame) -> DataFrame:
     """Means over the runs of each language."""
     numbers = ("unique_chars", "tokens", "bin_size", "zip_size", "rand_zip_size")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as T
 from wordloom.operators import compress, frequency, metrics, report
 from wordloom.operators.frequency import rounded
-from wordloom.plans.oracle import _ENTROPY, ORACLE, SEG
+from wordloom.plans.oracle import _ENTROPY, ORACLE, RANKED, SEG
 from wordloom.plans.queries import QUERIES as CORE
 from wordloom.plans.queries import _segmented, _words
 from wordloom.session import ship_package
@@ -100,7 +100,12 @@ def a23_truncated_ttr(s: SparkSession, d: str) -> DataFrame:
     return cut.groupBy("lang").agg(rounded(F.count(F.lit(1)) / F.sum("ppm"), 6).alias("ttr"))
 
 
-QUERIES = {f.__name__: f for f in (k11_result_table, j5_with_compression, a23_truncated_ttr)}
+def u5_sample_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of the samples that are compressed: tokens, different signs and bytes, means over the runs."""
+    return compress.averaged_sizes(compress.sample_sizes(compress.drawn_tokens(_words(s, d), compress.RUNS)))
+
+
+QUERIES = {f.__name__: f for f in (k11_result_table, j5_with_compression, a23_truncated_ttr, u5_sample_sizes)}
 
 
 def _item_sql(name: str, item: str) -> str:
@@ -139,6 +144,13 @@ def _sql() -> str:
 
 
 SQL = {
+    "u5_sample_sizes": f"""with {RANKED}, tot as (select lang, max(tokens)::bigint as total from ranked group by lang),
+      draws as (select lang, run, ('0x' || substr(md5(lang || ':' || run || ':' || draw || ':42'), 1, 15))::bigint % total as place from tot, range({compress.RUNS}) r(run), range({compress.SAMPLE}) d(draw)),
+      starts as (select lang, word, (tokens_upto - frequency)::bigint as start from ranked),
+      drawn as (select d.lang, d.run, r.word from draws d asof join starts r on d.lang = r.lang and d.place >= r.start),
+      sizes as (select lang, run, count(*) as tokens, 2 * sum(length(word)) + 2 * (count(*) - 1) as bin_size from drawn group by 1, 2),
+      signs as (select lang, run, count(distinct ch) as unique_chars from (select lang, run, unnest(string_split(word, '')) as ch from (select distinct lang, run, word from drawn)) group by 1, 2)
+      select lang, round(avg(unique_chars))::bigint as unique_chars, round(avg(tokens))::bigint as tokens, round(avg(bin_size))::bigint as bin_size from sizes join signs using (lang, run) group by lang""",
     "k11_result_table": _sql(),
     "a23_truncated_ttr": f"select lang, round(count(*) / sum(ppm), 6) as ttr from ({ORACLE['t2_truncated']}) group by lang",
 }
