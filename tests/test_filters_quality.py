@@ -1,3 +1,5 @@
+import random
+
 from wordloom.functions import text as T
 from wordloom.operators import filters, frequency, quality
 from pyspark.sql import functions as F
@@ -93,3 +95,14 @@ def test_reasons_and_the_list_made_by_hand(lists, frame):
     got = {r.file: r.reason for r in filters.priority_union(manual, overlap, filters.script_ignored(shares)).collect()}
     assert got == {"aaa_source2.csv": "manual ignore", "aaa_source3.csv": "file is 100.0% Cyrillic, but lang script is Latin (only 0.0% in file, need >= 75.0%)"}
     assert {r.reason for r in overlap.collect()} == {"100.0% hapax overlap with aaa_source1.csv"}
+
+
+def test_pairs_above_a_threshold_like_all_pairs(lists):
+    draw = random.Random(2)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    files = {f"aaa_{n}.csv": [(w, 1) for w in {*words[:3], *draw.sample(words, draw.randint(1, 30))}] for n in range(14)} | {"bbb_1.csv": [("x", 1)], "bbb_2.csv": [("x", 1)], "ccc_1.csv": [("y", 2)]}
+    rows = frequency.lines(lists(files))
+    every = {tuple(r) for r in filters.hapax_overlap(rows).select("file_a", "file_b", "overlap", "share_a_pct", "share_b_pct").collect()}
+    for threshold in (6.0, 33.3, 60.0, 99.0):
+        got = {tuple(r) for r in filters.overlap_above(rows, threshold).select("file_a", "file_b", "overlap", "share_a_pct", "share_b_pct").collect()}
+        assert got == {r for r in every if max(r[3:]) > threshold}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import script_of
 from wordloom.operators.frequency import hapax_words
+from wordloom.session import checkpointed
 
 MAX_PAIRS = 16
 OVERLAP_PCT = 33.3
@@ -24,10 +25,17 @@ def hapax_overlap(rows: DataFrame) -> DataFrame:
     hapax are not made; their overlap is 0.
     """
     hapaxes = hapax_words(rows)
-    sizes = hapaxes.groupBy("file").agg(F.count(F.lit(1)).alias("hapaxes"))
     a = hapaxes.withColumnRenamed("file", "file_a")
     b = hapaxes.withColumnRenamed("file", "file_b")
     common = a.join(b, ["lang", "word"]).filter("file_a < file_b").groupBy("lang", "file_a", "file_b").agg(F.count(F.lit(1)).alias("overlap"))
+    return _with_shares(common, _sizes(hapaxes))
+
+
+def _sizes(hapaxes: DataFrame) -> DataFrame:
+    return hapaxes.groupBy("file").agg(F.count(F.lit(1)).alias("hapaxes"))
+
+
+def _with_shares(common: DataFrame, sizes: DataFrame) -> DataFrame:
     size = lambda side: sizes.select(F.col("file").alias(f"file_{side}"), F.col("hapaxes").alias(f"hapaxes_{side}"))
     return (
         common.join(size("a"), "file_a")
@@ -37,6 +45,32 @@ def hapax_overlap(rows: DataFrame) -> DataFrame:
     )
 
 
+def overlap_above(rows: DataFrame, threshold: float = OVERLAP_PCT) -> DataFrame:
+    """The pairs of ``hapax_overlap`` of which one file shares more than ``threshold`` per cent.
+
+    Such a file shares one of its rarest hapaxes with the other: of n hapaxes of which m must be shared
+    the n - m + 1 that the fewest files hold. Only these are paired; the others, among them words that
+    very many files hold, are counted for pairs found so.
+    """
+    hapaxes = checkpointed(hapax_words(rows))
+    held = hapaxes.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("files"))
+    sizes = _sizes(hapaxes)
+    # shares are rounded to two places
+    needed = F.greatest(F.lit(1), F.ceil(F.col("hapaxes") * ((threshold - 0.005) / 100)))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("files", "word"))
+    marked = hapaxes.join(held, ["lang", "word"]).join(sizes, "file").withColumn("rare", place <= F.col("hapaxes") - needed + 1)
+    marked = checkpointed(marked.select("lang", F.col("file").alias("file_a"), "word", "files", "rare"))
+    other = hapaxes.withColumnRenamed("file", "file_b")
+    rare = marked.filter(F.col("rare") & (F.col("files") > 1)).join(other, ["lang", "word"]).filter("file_a <> file_b")
+    found = checkpointed(rare.groupBy("lang", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n")))
+    rest = found.select("file_a", "file_b").join(marked.filter(~F.col("rare")), "file_a").join(other, ["lang", "file_b", "word"], "left_semi")
+    total = found.unionByName(rest.groupBy("lang", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n")))
+    overlap = total.groupBy("lang", "file_a", "file_b").agg(F.sum("n").alias("overlap"))
+    # found from one file or from both, a pair has the same overlap
+    once = overlap.select("lang", F.least("file_a", "file_b").alias("file_a"), F.greatest("file_a", "file_b").alias("file_b"), "overlap").distinct()
+    return _with_shares(once, sizes).filter(F.greatest("share_a_pct", "share_b_pct") > threshold)
+
+
 def top_pairs(pairs: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
     """The pairs of each language with the largest share, with their place; equal ones by file names."""
     order = Window.partitionBy("lang").orderBy(F.greatest("share_a_pct", "share_b_pct").desc(), "file_a", "file_b")

@@ -103,8 +103,9 @@ def a41_most_shared(s: SparkSession, d: str) -> DataFrame:
 @query
 def j21_pairs_kept(s: SparkSession, d: str) -> DataFrame:
     """Pairs of files of which neither is left out."""
-    pairs = filters.hapax_overlap(_lines(s, d))
-    gone = filters.overlap_ignored(filters.top_pairs(pairs), 6.0).select("file")
+    rows = _lines(s, d)
+    pairs = filters.hapax_overlap(rows)
+    gone = filters.overlap_ignored(filters.top_pairs(filters.overlap_above(rows, 6.0)), 6.0).select("file")
     for side in ("file_a", "file_b"):
         pairs = pairs.join(gone.withColumnRenamed("file", side), side, "left_anti")
     return pairs.select("file_a", "file_b", "overlap")

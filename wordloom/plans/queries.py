@@ -203,7 +203,7 @@ def t4_top_pairs(s: SparkSession, d: str) -> DataFrame:
 @query
 def e8_overlap_ignored(s: SparkSession, d: str) -> DataFrame:
     """Files left out for overlap, with a threshold that suits lists of this size."""
-    return filters.overlap_ignored(filters.top_pairs(filters.hapax_overlap(_lines(s, d))), 6.0)
+    return filters.overlap_ignored(filters.top_pairs(filters.overlap_above(_lines(s, d), 6.0)), 6.0)
 
 
 @query
@@ -224,7 +224,7 @@ def a11_language_scripts(s: SparkSession, d: str) -> DataFrame:
 
 def _ignored(s: SparkSession, d: str) -> DataFrame:
     rows = _lines(s, d)
-    overlap = filters.overlap_ignored(filters.top_pairs(filters.hapax_overlap(rows)), 6.0)
+    overlap = filters.overlap_ignored(filters.top_pairs(filters.overlap_above(rows, 6.0)), 6.0)
     shares = filters.file_scripts(filters.script_letters(filters.sampled_lines(rows)))
     return filters.priority_union(overlap, filters.script_ignored(shares))
 
