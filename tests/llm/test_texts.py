@@ -151,7 +151,7 @@ def test_a_notice_in_many_documents_makes_no_pairs(spark):
     """One notice of 300 characters in all documents: as many spans as documents times starts, no pairs."""
     draw = random.Random(8)
     notice = "".join(draw.choice("abcdefgh \n") for _ in range(300))
-    rows = [(i, "".join(draw.choice("abcdefgh \n") for _ in range(50)) + notice + "".join(draw.choice("ijkl") for _ in range(50)), 0, "x") for i in range(120)]
+    rows = [(i, "".join(draw.choice("abcdefgh \n") for _ in range(50)) + chr(0x4E00 + i) + notice + chr(0x4E00 + i) + "".join(draw.choice("ijkl") for _ in range(50)), 0, "x") for i in range(120)]
     frame = spark.createDataFrame(rows, DOCS)
     held = spans._shared(spans.window_keys(frame, 200, 100), "key").select("key", "doc_id")
     starts = spans.shared_starts(held, frame, 200, 100)
