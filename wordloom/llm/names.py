@@ -312,7 +312,10 @@ def match_names(typed: DataFrame, languages: DataFrame, aliases: DataFrame | Non
             yield batch.assign(iso_code=pd.Series(codes, dtype=object, index=batch.index))
 
     typed = typed.select("tbl", "entry_id", "code", "name")
-    known = typed.select("name", "code").distinct().mapInPandas(match, "name string, code string, iso_code string").alias("k")
+    # few bytes, but much work for each: an explicit number of tasks is not merged into one
+    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = typed.select("name", "code").repartition(tasks, "name", "code").distinct()
+    known = distinct.mapInPandas(match, "name string, code string, iso_code string").alias("k")
     same = F.col("t.name").eqNullSafe(F.col("k.name")) & F.col("t.code").eqNullSafe(F.col("k.code"))
     return typed.alias("t").join(known, same, "left").select("t.tbl", "t.entry_id", "t.code", "t.name", "k.iso_code")
 
