@@ -182,3 +182,35 @@ def test_substitutions_of_no_listed_encoding_are_learned(spark):
     rows += [(i, "fra_web_2020_9.csv", None, i, w.replace("é", "☃¤"), 2) for i, w in wrong.items()]
     got = {r.row_id: (r.original, r.mapping) for r in encoding_repair.repaired_rows(spark.createDataFrame(rows, RAW)).collect()}
     assert got == {i: (w, "learned") for i, w in wrong.items()}
+
+
+def test_texts_of_many_twins_show_what_stands_for_what(spark):
+    """Every stripped text has ten clean words, every word of the other script has one of two patterns of hundreds."""
+    words = {"fra": ["".join(p) for p in itertools.product("bdgk", "áàâäæéèêëí", "mn", ("st", "rt"))]}
+    words["rus"] = ["".join(p) for p in itertools.product("бвгд", "ау", "клмн", "иоы")]
+    rows, wrong = [], {}
+    for lang, chain in (("fra", "utf-8>cp1252"), ("rus", "cp1251>cp1252")):
+        rows += [(len(rows) + i, f"{lang}_web_2020_{i % 3}.csv", None, i, w, 2) for i, w in enumerate(words[lang] * 2)]
+        for w in words[lang][::5]:
+            wrong[len(rows)] = w
+            rows.append((len(rows), f"{lang}_web_2020_9.csv", None, len(rows), forms.garble(w, chain), 2))
+    got = {r.row_id: r.original for r in encoding_repair.repaired_rows(spark.createDataFrame(rows, RAW)).collect()}
+    assert got == wrong
+
+
+def test_votes_of_many_twins_weigh_little(spark):
+    """Of a sign that no encoding makes, a word with one twin tells all and words with many twins tell little."""
+    keyed = [("rus", f"☃{i}ка", False, "1,2,3,4", ["☃", str(i), "к", "а"]) for i in range(3)]
+    keyed += [("rus", w, True, "1,2,3,4", list(w)) for w in ("бока", "вока", "гока", "дока")]
+    keyed += [("rus", "☃мам", False, "1,2,3,2", ["☃", "м", "а", "м"]), ("rus", "бумам", True, "1,2,3,2", ["б", "у", "м", "у"])]
+    frame = spark.createDataFrame([("rus", "абвгдкмоу", False, False, False)], "lang string, letters string, latin boolean, cased boolean, marks boolean")
+    votes = encoding_repair.open_votes(spark.createDataFrame(keyed, "lang string, word string, clean boolean, key string, units array<string>"), frame)
+    got = {r.v: r.parts / encoding_repair.PARTS for r in votes.filter("u = '☃'").collect()}
+    assert got == {"б": 1 + 3 / 16, "в": 3 / 16, "г": 3 / 16, "д": 3 / 16}
+
+
+def test_originals():
+    pairs = frozenset(map("".join, itertools.product("^абв", "абв$")))
+    ways = forms.Originals("абв", "CYRILLIC", pairs)
+    assert "cp1251>cp1252" in ways.of(list("àáâ"))["абв"].split("|") and ways.of(list("ààâ"))["аав"]
+    assert ways.of(list("à☃â")) == {} and forms.Originals("абв", "CYRILLIC", pairs - {"аб"}).of(list("àáâ")) == {}

@@ -46,9 +46,11 @@ LEAST_WORDS, LEAST_SHARE = 3, 0.0
 UNIT_SHARE, UNNAMED_WORDS, UNNAMED_SHARE = 0.2, 5, 0.5
 #: A letter that stands for another letter of its script does so in this share of its words with such twins.
 LETTER_SHARE = 0.8
-#: A stripped text or a pattern that more clean words have tells nothing about the letters behind it. Of the twins by
-#: pattern only those count of which all letters agree on a pair of encodings, so that there may be more of them.
-TWINS, PATTERN_TWINS = 8, 64
+#: A pair of encodings tells about words without ASCII letters if this share of the legible texts that it makes of a
+#: language's words are words of it.
+WORD_SHARE = 0.2
+#: Votes of twins are counted in so many parts of a word.
+PARTS = 1_000_000
 #: Signs that one letter may have become, in words without ASCII letters.
 WIDTHS = (1, 2, 3)
 #: Stands for a stretch of non-ASCII characters in stripped text.
@@ -237,18 +239,76 @@ def twin_keys(vocab: DataFrame, frame: DataFrame) -> DataFrame:
     return marked.select("lang", "word", "n", "clean", F.explode(keys).alias("k")).select("lang", "word", "n", "clean", "k.key", "k.units")
 
 
-def aligned_twins(vocab: DataFrame, frame: DataFrame) -> DataFrame:
-    """(lang, word, clean, wrong, right): words next to the letters that a clean twin has in place of their stretches.
+def stripped_twins(keyed: DataFrame) -> DataFrame:
+    """(lang, word, clean, wrong, right, may): words next to what all clean twins of the same stripped text have in place of their stretches.
 
-    A word's twin is a clean word of the same key; of two clean words the rarer may be garbled.
+    Of two clean words the rarer may be garbled. A text and what fills its gaps are the word, so a
+    text has no more twins than there are ways to fill its gaps.
     """
-    keyed = checkpointed(twin_keys(vocab, frame))
-    # one exchange serves the counts and the join
-    clean = keyed.filter("clean").select("lang", "key", "units", "n").repartition("lang", "key")
-    few = clean.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("twins")).filter(F.col("twins") <= F.when(F.col("key").contains(GAP), TWINS).otherwise(PATTERN_TWINS))
-    twins = clean.join(few, ["lang", "key"]).select("lang", "key", "twins", F.col("units").alias("right"), F.col("n").alias("twin_n"))
-    pairs = keyed.join(twins, ["lang", "key"]).filter(~F.col("clean") | (F.col("twin_n") > F.col("n")) & (F.col("twins") <= TWINS))
-    return pairs.filter(F.col("units") != F.col("right")).select("lang", "word", "clean", F.col("units").alias("wrong"), "right")
+    keyed = keyed.filter(F.col("key").contains(GAP))
+    twins = keyed.filter("clean").select("lang", "key", F.col("units").alias("right"), F.col("n").alias("twin_n"))
+    pairs = keyed.join(twins, ["lang", "key"]).filter(~F.col("clean") | (F.col("twin_n") > F.col("n"))).filter(F.col("units") != F.col("right"))
+    return pairs.select("lang", "word", "clean", F.col("units").alias("wrong"), "right", F.lit(None).cast("array<string>").alias("may"))
+
+
+def pattern_twins(keyed: DataFrame, found: Study) -> DataFrame:
+    """As ``stripped_twins``, for words without ASCII letters; may: the pairs of encodings that count.
+
+    A pattern may be that of most words of a language, so its twins are not paired: for each pair of
+    encodings the text that it may have made the word of is looked up among all clean words. Texts
+    with letter pairs that no clean word has are none of them. In a large vocabulary some other text
+    is a word by chance, so a pair of encodings counts if enough of its texts are words.
+    """
+    whole = keyed.filter(~F.col("key").contains(GAP))
+    twins = whole.filter("clean").select("lang", F.array_join("units", "").alias("text"), F.col("n").alias("twin_n"))
+    ends = F.concat(F.lit("^"), F.col("text"), F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(ends) - 1), lambda i: F.substring(ends, i, F.lit(2)))
+    legible: dict[str, set[str]] = defaultdict(set)
+    for row in twins.select("lang", F.explode(pairs).alias("pair")).distinct().collect():  # pairs of letters of each language
+        legible[row.lang].add(row.pair)
+    scripts, letters = ({code: pair[i] for code, pair in found.languages.items()} for i in (0, 1))
+
+    def undone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ways: dict[str, forms.Originals] = {}
+        for batch in batches:
+            rows = []
+            for code, word, n, clean, units in zip(*(batch[c] for c in ("lang", "word", "n", "clean", "units")), strict=True):
+                if code not in ways:
+                    ways[code] = forms.Originals(letters[code], scripts[code], frozenset(legible.get(code, ())))
+                rows += [(code, word, n, clean, len(word) // len(units), text, names) for text, names in ways[code].of(units).items()]
+            yield pd.DataFrame(rows, columns=["lang", "word", "n", "clean", "width", "text", "chains"])
+
+    schema = "lang string, word string, n bigint, clean boolean, width int, text string, chains string"
+    texts = whole.select("lang", "word", "n", "clean", "units").mapInPandas(undone, schema)
+    rarer = ~F.col("clean") | (F.col("twin_n") > F.col("n"))
+    met = checkpointed(texts.join(twins, ["lang", "text"], "left").withColumn("twin", F.col("twin_n").isNotNull() & rarer))
+    chains = F.split("chains", r"\|")
+    counted = met.groupBy("lang", "clean", "chains").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("twin").cast("bigint")).alias("twins"))
+    counted = counted.select("lang", "clean", "texts", "twins", F.explode(chains).alias("chain")).groupBy("lang", "clean", "chain")
+    telling = counted.agg(F.sum("texts").alias("texts"), F.sum("twins").alias("twins")).filter(F.col("twins") >= WORD_SHARE * F.col("texts"))
+    # one row per language
+    may = telling.groupBy("lang", "clean").agg(F.collect_set("chain").alias("may"))
+    units = lambda width: F.regexp_extract_all("word", F.lit(rf"(?s)(.{{{width}}})"), F.lit(1))
+    wrong = F.when(F.col("width") == 1, F.split("word", "")).when(F.col("width") == 2, units(2)).otherwise(units(3))
+    pairs = met.filter("twin").join(F.broadcast(may), ["lang", "clean"]).filter(F.arrays_overlap(chains, "may"))
+    return pairs.select("lang", "word", "clean", wrong.alias("wrong"), F.split("text", "").alias("right"), "may")
+
+
+def open_votes(keyed: DataFrame, frame: DataFrame) -> DataFrame:
+    """(lang, u, v, parts): what signs that are no letters may stand for by all twins of the same pattern, whatever encodings make.
+
+    Twins with many letters at the place of a sign tell little about it: a word's vote counts 1 / letters
+    and is split between them. Letters are counted for each place of a pattern, so no pairs are made.
+    """
+    whole = keyed.filter(~F.col("key").contains(GAP))
+    placed = whole.select("lang", "key", "clean", "units", F.posexplode("units").alias("at", "u")).filter(F.array_position("units", F.col("u")) == F.col("at") + 1)
+    # one row per language
+    words = placed.filter(~F.col("clean")).join(F.broadcast(frame), "lang").filter(_residue(F.col("u")) != "")
+    words = words.groupBy("lang", "key", "at", "u").agg(F.count(F.lit(1)).alias("words"))
+    letters = placed.filter("clean").groupBy("lang", "key", "at").agg(F.collect_set("u").alias("vs"))  # letters of a language at most
+    share = F.floor(F.col("words") * PARTS / F.size("vs") / F.size("vs"))
+    split = words.join(letters, ["lang", "key", "at"]).select("lang", "u", share.alias("parts"), F.explode("vs").alias("v"))
+    return split.groupBy("lang", "u", "v").agg(F.sum("parts").alias("parts"))
 
 
 def substitutions(aligned: DataFrame, found: Study) -> DataFrame:
@@ -261,9 +321,10 @@ def substitutions(aligned: DataFrame, found: Study) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for code, word, clean, wrong, right in zip(*(batch[c] for c in ("lang", "word", "clean", "wrong", "right")), strict=True):
+            for code, word, clean, wrong, right, may in zip(*(batch[c] for c in ("lang", "word", "clean", "wrong", "right", "may")), strict=True):
                 pairs = forms.substituted(wrong, right)
                 names = forms.common_chains(pairs, scripts[code]) if pairs else []
+                names = names if may is None else [name for name in names if name in may]
                 # clean words without ASCII letters that repeat like their twin do so by chance
                 if names or not clean or scripts[code] == "LATIN":
                     rows += [(code, word, u, v, names, len(pairs)) for u, v in pairs]
@@ -274,7 +335,8 @@ def substitutions(aligned: DataFrame, found: Study) -> DataFrame:
 
 def learn(vocab: DataFrame, frame: DataFrame, found: Study) -> None:
     """Puts the substitutions and transformations that twins show into the study."""
-    shown = checkpointed(substitutions(aligned_twins(vocab, frame), found))
+    keyed = checkpointed(twin_keys(vocab, frame))
+    shown = checkpointed(substitutions(stripped_twins(keyed).unionByName(pattern_twins(keyed, found)), found))
     # three letters of a word, or one stretch that is no letter, do not agree on a pair of encodings by chance
     named = (F.size("chains") > 0) & ((F.col("size") >= 3) | F.col("u").rlike(r"[^\p{L}]|(?s)..."))
     # pieces of stretches that a twin of other letters splits in the wrong place are no substitutions
@@ -282,8 +344,13 @@ def learn(vocab: DataFrame, frame: DataFrame, found: Study) -> None:
     counted = (
         shown.groupBy("lang", "u", "v", "word")
         .agg(F.max(named.cast("bigint")).alias("named"), F.max(alone.cast("bigint")).alias("alone"))
+        .select("lang", "u", "v", F.lit(PARTS).cast("bigint").alias("n"), "named", (F.col("alone") * PARTS).alias("alone"))
+    )
+    votes = open_votes(keyed, frame).select("lang", "u", "v", F.col("parts").alias("n"), F.lit(0).cast("bigint").alias("named"), F.col("parts").alias("alone"))
+    counted = (
+        counted.unionByName(votes)
         .groupBy("lang", "u", "v")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("named").alias("named"), F.sum("alone").alias("alone"))
+        .agg((F.sum("n") / PARTS).alias("n"), F.sum("named").alias("named"), (F.sum("alone") / PARTS).alias("alone"))
         .withColumn("of_lang", F.sum("n").over(Window.partitionBy("lang", "u")))
         .withColumn("pooled", F.sum("n").over(Window.partitionBy("u", "v")))
         .withColumn("of_all", F.sum("n").over(Window.partitionBy("u")))

@@ -361,6 +361,55 @@ def common_chains(pairs: list[tuple[str, str]], script_name: str) -> list[str]:
     return sorted(common or ())
 
 
+class Originals:
+    """The texts of a language's letters that a chain shows as given units.
+
+    ``legible``: the letter pairs (^ and $ are the ends) that a text may have.
+    """
+
+    def __init__(self, letters: str, script_name: str, legible: frozenset[str]) -> None:
+        self._chains, self._legible = chains(script_name), legible
+        bits = {chain: 1 << i for i, chain in enumerate(self._chains)}
+        self._shown: dict[str, list[tuple[str, int]]] = {}  # unit -> (letter, bits of the chains that show it so)
+        for letter in sorted(set(letters)):
+            for unit, names in _made_of(letter, script_name).items():
+                self._shown.setdefault(unit, []).append((letter, sum(bits[name] for name in names)))
+        self._after: dict[tuple[str, str], list[tuple[str, int]]] = {}  # (unit, letter before) -> legible letters
+        self._names: dict[int, str] = {}
+
+    def of(self, units: list[str]) -> dict[str, str]:
+        """All other texts of one letter for each unit, different ones for different units -> the chains, with | between."""
+        texts = [("", "^", -1)]
+        for unit in units:
+            shown = self._shown.get(unit)
+            if shown is None:
+                return {}
+            longer = []
+            for text, last, names in texts:
+                after = self._after.get((unit, last))
+                if after is None:
+                    after = [(letter, also) for letter, also in shown if last + letter in self._legible]
+                    self._after[unit, last] = after
+                for letter, also in after:
+                    left = names & also
+                    if left:
+                        longer.append((text + letter, letter, left))
+            if not longer:
+                return {}
+            texts = longer
+        word, size = "".join(units), len(set(units))
+        return {
+            text: self._named(names)
+            for text, last, names in texts
+            if last + "$" in self._legible and text != word and len(set(text)) == size == len(set(zip(units, text)))
+        }
+
+    def _named(self, bits: int) -> str:
+        if bits not in self._names:
+            self._names[bits] = "|".join(chain for i, chain in enumerate(self._chains) if bits >> i & 1)
+        return self._names[bits]
+
+
 def substituted(wrong: list[str], right: list[str]) -> list[tuple[str, str]]:
     """The different (unit, letter) in which aligned stretches differ; none where a stretch can't be split evenly."""
     pairs: dict[tuple[str, str], None] = {}
