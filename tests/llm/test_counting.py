@@ -107,3 +107,14 @@ def test_blocks_and_ranges_sum_like_plain_counts(spark, monkeypatch):
     got = terms.term_counts(frame).collect()
     assert {(r.lang, r.term): [r.total, r.files] for r in got} == expected
     assert len({r.term_id for r in got}) == len(got)
+
+
+def test_ranges_of_copies_ship_no_number(spark):
+    """Rows cross the exchange as (tbl, file, key, id) and come out sorted by the number of their key, then by id."""
+    rows = [("raw_freq", "a", f"k{i % 50}", 1000 - i) for i in range(500)]
+    done = format_copies.sorted_rows(spark.createDataFrame(rows, "tbl string, file string, key string, id bigint"), 4)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :].split("\n", 1)[1]
+    assert "digest" not in below
+    got = [(r.n, r.key, r.id) for r in done.selectExpr("xxhash64(tbl, file, key) n", "key", "id").collect()]
+    assert got == sorted(got) and sorted(r[2] for r in got) == sorted(r[3] for r in rows)

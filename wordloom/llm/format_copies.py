@@ -148,18 +148,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def sorted_rows(keyed: DataFrame, ranges: int) -> DataFrame:
+    """(tbl, file, key, id) range-partitioned and sorted by a number of the full key, the key and the id.
+
+    A number sorts faster than texts; full keys are compared where it is equal. It is made again after
+    the exchange, as it can't be compressed on the way.
+    """
+    columns = ["tbl", "file", "key", "id"]
+    digest = F.xxhash64("tbl", "file", "key")
+    return keyed.select(*columns).repartitionByRange(ranges, digest, *columns).withColumn("digest", digest).sortWithinPartitions("digest", *columns).select(*columns)
+
+
 def copies(keyed: DataFrame) -> DataFrame:
     """(tbl, key_a, key_b): the smallest id of each set of equal (tbl, file, key) with each other id."""
     spark = keyed.sparkSession
     columns = ["tbl", "file", "key", "id"]
-    # a number sorts faster than texts; full keys are compared where it is equal
-    order = ["digest", *columns]
     # the keys are needed for their number, for the bounds of the ranges and for the sort
-    keyed = keyed.select(F.xxhash64("tbl", "file", "key").alias("digest"), *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = keyed.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     # an explicit number of ranges is not split later, so it grows with the rows
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // RANGE_ROWS))
-    sorted_rows = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(*columns)
-    scanned = checkpointed(sorted_rows.mapInArrow(_scan, _SCAN))
+    scanned = checkpointed(sorted_rows(keyed, ranges).mapInArrow(_scan, _SCAN))
     keyed.unpersist()
     carried, last, rep = [], None, None
     for row in scanned.filter("id is null").select("part", "first", "last", "rep").orderBy("part").collect():  # one per range
