@@ -214,3 +214,13 @@ def test_originals():
     ways = forms.Originals("абв", "CYRILLIC", pairs)
     assert "cp1251>cp1252" in ways.of(list("àáâ"))["абв"].split("|") and ways.of(list("ààâ"))["аав"]
     assert ways.of(list("à☃â")) == {} and forms.Originals("абв", "CYRILLIC", pairs - {"аб"}).of(list("àáâ")) == {}
+
+
+def test_letter_pairs_by_brute_force(spark):
+    words = [("rus", "слово"), ("rus", "волос"), ("deu", "größe"), ("deu", "a"), ("deu", "𝒜bb"), ("rus", "о")]
+    expected = {}
+    for code, word in words:
+        for pair in map("".join, zip(f"^{word}$", f"{word}$")):
+            expected[code, pair] = expected.get((code, pair), 0) + 1
+    got = encoding_repair.letter_pairs(spark.createDataFrame(words, "lang string, word string"))
+    assert {(r.lang, r.pair): r.n for r in got.collect()} == expected

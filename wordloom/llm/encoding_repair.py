@@ -28,12 +28,15 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import forms
-from wordloom.session import checkpointed
+from wordloom.session import stored
 
 #: A sign of a language's script counts as one of its letters if this many different words hold it. Other signs make
 #: a word be looked at, not found.
@@ -100,7 +103,7 @@ def lang_of(file: str | Column = "file") -> Column:
 def vocabulary(raw_freq: DataFrame) -> DataFrame:
     """(lang, word, n): the distinct words of each language with their lines, written for several passes."""
     words = raw_freq.filter(F.col("word").isNotNull() & F.col("file").isNotNull())
-    return checkpointed(words.groupBy(lang_of().alias("lang"), "word").agg(F.count(F.lit(1)).alias("n")))
+    return stored(words.groupBy(lang_of().alias("lang"), "word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def study_letters(vocab: DataFrame) -> dict[str, tuple[str, str]]:
@@ -164,7 +167,9 @@ def unusual(text: Column, capitals: bool = False) -> Column:
 def _plain(word: Column) -> Column:
     """Whether a word next to (letters, latin, marks) is in lower case and holds letters of its language only."""
     rest = F.when(F.col("latin"), F.regexp_replace(_residue(word), "[a-z]", "")).otherwise(_residue(word))
-    return (F.lower(word) == word) & (rest == "") & (word != "") & ~_unstable(word)
+    plain = (F.lower(word) == word) & (rest == "") & (word != "") & ~_unstable(word)
+    # bytes and signs are as many in ASCII text
+    return F.when(F.col("latin") & (F.octet_length(word) == F.length(word)), word.rlike(r"\A[a-z]+\z")).otherwise(plain)
 
 
 def clean_words(vocab: DataFrame, frame: DataFrame) -> DataFrame:
@@ -173,12 +178,46 @@ def clean_words(vocab: DataFrame, frame: DataFrame) -> DataFrame:
     return vocab.join(F.broadcast(frame), "lang").filter(_plain(F.col("word"))).select("lang", "word")
 
 
+#: Different letter pairs that a task counts before it hands them on.
+PAIRS_KEPT = 500_000
+
+
+def letter_pairs(words: DataFrame) -> DataFrame:
+    """(lang, pair, n) of (lang, word): letter pairs, by places; ^ and $ are the ends."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: Counter[tuple[str, int]] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            columns = [code for code, _ in kept], [chr(both >> 21) + chr(both & 0x1FFFFF) for _, both in kept], list(kept.values())
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "pair", "n"])
+
+        for batch in batches:
+            codes = batch.column("lang").dictionary_encode()
+            texts = pc.binary_join_element_wise("^", batch.column("word"), "$", "")
+            sizes = pc.utf8_length(texts).to_numpy()
+            signs = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+            inner = np.ones(len(signs), bool)  # the last sign of a word begins no pair
+            inner[np.cumsum(sizes) - 1] = False
+            at = np.flatnonzero(inner)
+            lang = np.repeat(codes.indices.to_numpy().astype(np.int64), sizes)  # fewer than 2 ** 21 in a batch
+            both, n = np.unique(lang[at] << 42 | signs[at] << 21 | signs[at + 1], return_counts=True)
+            names = codes.dictionary.to_pylist()
+            for key, places in zip(both.tolist(), n.tolist(), strict=True):
+                kept[names[key >> 42], key & (1 << 42) - 1] += places
+            if len(kept) >= PAIRS_KEPT:
+                yield rows()
+        yield rows()
+
+    counts = words.select("lang", "word").mapInArrow(counted, "lang string, pair string, n bigint")
+    return counts.groupBy("lang", "pair").agg(F.sum("n").alias("n"))
+
+
 def study_pairs(clean: DataFrame) -> dict[str, tuple[dict[int, int], dict[str, int]]]:
     """code -> (bucket of letter pair -> places of clean words, first letter -> places); ^ and $ are the ends."""
-    text = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
     bucket = F.pmod(F.crc32(F.encode("pair", "UTF-8")), F.lit(forms.BUCKETS)).cast("int")
-    counted = clean.select("lang", F.explode(pairs).alias("pair")).groupBy("lang", "pair").agg(F.count(F.lit(1)).alias("n"))
+    counted = letter_pairs(clean)
     keyed = counted.select("lang", "n", bucket.alias("bucket"), F.substring("pair", 1, 1).alias("first"))
     both = keyed.groupingSets([["lang", "bucket"], ["lang", "first"]], "lang", "bucket", "first").agg(F.sum("n").alias("n"))
     out: dict[str, tuple[dict[int, int], dict[str, int]]] = defaultdict(lambda: ({}, {}))
@@ -219,24 +258,25 @@ def _repairs(study: Study) -> _Repairs:
 
 
 def twin_keys(vocab: DataFrame, frame: DataFrame) -> DataFrame:
-    """(lang, word, n, clean, key, units): what a word may share with a twin, and its stretches beside that.
+    """(lang, word, n, clean, key, units, width): what a word may share with a twin, and its stretches beside that.
 
-    A word with ASCII letters has its text without other signs as the key. A word without ASCII signs
+    width: of the units of a pattern, else 0. A word with ASCII letters has its text without other signs as the key. A word without ASCII signs
     has for each width the pattern in which its units repeat; clean words have units of one sign.
     """
     word, clean = F.col("word"), F.col("clean")
     # one row per language
-    marked = vocab.filter(word.rlike(r"[^\x00-\x7F]")).join(F.broadcast(frame), "lang").withColumn("clean", _plain(word))
-    stripped = F.struct(F.regexp_replace(F.lower(word), r"[^\x00-\x7F]+", GAP).alias("key"), F.regexp_extract_all(word, F.lit(r"([^\x00-\x7F]+)")).alias("units"))
+    marked = vocab.filter(F.octet_length(word) != F.length(word)).join(F.broadcast(frame), "lang").withColumn("clean", _plain(word))
+    stripped = F.struct(F.regexp_replace(F.lower(word), r"[^\x00-\x7F]+", GAP).alias("key"), F.regexp_extract_all(word, F.lit(r"([^\x00-\x7F]+)")).alias("units"), F.lit(0).alias("width"))
     patterns = []
     for width in WIDTHS:
         units = F.split(word, "") if width == 1 else F.regexp_extract_all(word, F.lit(rf"(?s)(.{{{width}}})"))
         fits = (F.length(word) >= 4 * width) & (F.lit(True) if width == 1 else ~clean & (F.length(word) % width == 0))
-        patterns.append(F.when(fits, units))
+        patterns.append(F.when(fits, F.struct(units.alias("units"), F.lit(width).alias("width"))))
     whole = F.filter(F.array(*patterns), lambda u: u.isNotNull())
-    keyed = F.transform(whole, lambda units: F.struct(F.array_join(F.transform(units, lambda u: F.array_position(units, u).cast("string")), ",").alias("key"), units.alias("units")))
+    pattern = lambda units: F.array_join(F.transform(units, lambda u: F.array_position(units, u).cast("string")), ",")
+    keyed = F.transform(whole, lambda p: F.struct(pattern(p["units"]).alias("key"), p["units"].alias("units"), p["width"].alias("width")))
     keys = F.when(F.col("latin") & word.rlike("[A-Za-z].*[A-Za-z]"), F.array(stripped)).when(~F.col("latin") & ~word.rlike(r"[\x00-\x7F\x{fffd}]"), keyed)
-    return marked.select("lang", "word", "n", "clean", F.explode(keys).alias("k")).select("lang", "word", "n", "clean", "k.key", "k.units")
+    return marked.select("lang", "word", "n", "clean", F.explode(keys).alias("k")).select("lang", "word", "n", "clean", "k.key", "k.units", "k.width")
 
 
 def stripped_twins(keyed: DataFrame) -> DataFrame:
@@ -245,7 +285,7 @@ def stripped_twins(keyed: DataFrame) -> DataFrame:
     Of two clean words the rarer may be garbled. A text and what fills its gaps are the word, so a
     text has no more twins than there are ways to fill its gaps.
     """
-    keyed = keyed.filter(F.col("key").contains(GAP))
+    keyed = keyed.filter("width = 0")
     twins = keyed.filter("clean").select("lang", "key", F.col("units").alias("right"), F.col("n").alias("twin_n"))
     pairs = keyed.join(twins, ["lang", "key"]).filter(~F.col("clean") | (F.col("twin_n") > F.col("n"))).filter(F.col("units") != F.col("right"))
     return pairs.select("lang", "word", "clean", F.col("units").alias("wrong"), "right", F.lit(None).cast("array<string>").alias("may"))
@@ -259,29 +299,32 @@ def pattern_twins(keyed: DataFrame, found: Study) -> DataFrame:
     with letter pairs that no clean word has are none of them. In a large vocabulary some other text
     is a word by chance, so a pair of encodings counts if enough of its texts are words.
     """
-    whole = keyed.filter(~F.col("key").contains(GAP))
-    twins = whole.filter("clean").select("lang", F.array_join("units", "").alias("text"), F.col("n").alias("twin_n"))
-    ends = F.concat(F.lit("^"), F.col("text"), F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(ends) - 1), lambda i: F.substring(ends, i, F.lit(2)))
+    whole = keyed.filter("width > 0")
+    twins = whole.filter("clean").select("lang", F.col("word").alias("text"), F.col("n").alias("twin_n"))
     legible: dict[str, set[str]] = defaultdict(set)
-    for row in twins.select("lang", F.explode(pairs).alias("pair")).distinct().collect():  # pairs of letters of each language
+    for row in letter_pairs(whole.filter("clean")).select("lang", "pair").collect():  # pairs of letters of each language
         legible[row.lang].add(row.pair)
     scripts, letters = ({code: pair[i] for code, pair in found.languages.items()} for i in (0, 1))
 
-    def undone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways: dict[str, forms.Originals] = {}
         for batch in batches:
-            rows = []
-            for code, word, n, clean, units in zip(*(batch[c] for c in ("lang", "word", "n", "clean", "units")), strict=True):
+            at, texts, chains = [], [], []
+            for i, (code, word, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "width")), strict=True)):
                 if code not in ways:
                     ways[code] = forms.Originals(letters[code], scripts[code], frozenset(legible.get(code, ())))
-                rows += [(code, word, n, clean, len(word) // len(units), text, names) for text, names in ways[code].of(units).items()]
-            yield pd.DataFrame(rows, columns=["lang", "word", "n", "clean", "width", "text", "chains"])
+                units = word if width == 1 else [word[j : j + width] for j in range(0, len(word), width)]
+                for text, names in ways[code].of(units).items():
+                    at.append(i)
+                    texts.append(text)
+                    chains.append(names)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield rows.append_column("text", pa.array(texts, pa.string())).append_column("chains", pa.array(chains, pa.string()))
 
     schema = "lang string, word string, n bigint, clean boolean, width int, text string, chains string"
-    texts = whole.select("lang", "word", "n", "clean", "units").mapInPandas(undone, schema)
+    texts = whole.select("lang", "word", "n", "clean", "width").mapInArrow(undone, schema)
     rarer = ~F.col("clean") | (F.col("twin_n") > F.col("n"))
-    met = checkpointed(texts.join(twins, ["lang", "text"], "left").withColumn("twin", F.col("twin_n").isNotNull() & rarer))
+    met = stored(texts.join(twins, ["lang", "text"], "left").withColumn("twin", F.col("twin_n").isNotNull() & rarer))
     chains = F.split("chains", r"\|")
     counted = met.groupBy("lang", "clean", "chains").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("twin").cast("bigint")).alias("twins"))
     counted = counted.select("lang", "clean", "texts", "twins", F.explode(chains).alias("chain")).groupBy("lang", "clean", "chain")
@@ -301,7 +344,7 @@ def open_votes(keyed: DataFrame, frame: DataFrame) -> DataFrame:
     and is split between them. Letters are counted for each place of a pattern, so no pairs are made.
     """
     whole = keyed.filter(~F.col("key").contains(GAP))
-    placed = whole.select("lang", "key", "clean", "units", F.posexplode("units").alias("at", "u")).filter(F.array_position("units", F.col("u")) == F.col("at") + 1)
+    placed = whole.select("lang", "key", "clean", F.posexplode(F.array_distinct("units")).alias("at", "u"))
     # one row per language
     words = placed.filter(~F.col("clean")).join(F.broadcast(frame), "lang").filter(_residue(F.col("u")) != "")
     words = words.groupBy("lang", "key", "at", "u").agg(F.count(F.lit(1)).alias("words"))
@@ -318,25 +361,42 @@ def substitutions(aligned: DataFrame, found: Study) -> DataFrame:
     """
     scripts = {code: script for code, (script, _) in found.languages.items()}
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[str]] = {}  # chains by script and substitutions
         for batch in batches:
-            rows = []
-            for code, word, clean, wrong, right, may in zip(*(batch[c] for c in ("lang", "word", "clean", "wrong", "right", "may")), strict=True):
+            at, us, vs, chains, sizes = [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("lang", "clean", "wrong", "right", "may"))
+            for i, (code, clean, wrong, right, may) in enumerate(zip(*columns, strict=True)):
                 pairs = forms.substituted(wrong, right)
-                names = forms.common_chains(pairs, scripts[code]) if pairs else []
+                if not pairs:
+                    continue
+                key = scripts[code], *pairs
+                names = known.get(key)
+                if names is None:
+                    if len(known) >= 100_000:
+                        known.clear()
+                    names = known[key] = forms.common_chains(pairs, scripts[code])
                 names = names if may is None else [name for name in names if name in may]
                 # clean words without ASCII letters that repeat like their twin do so by chance
                 if names or not clean or scripts[code] == "LATIN":
-                    rows += [(code, word, u, v, names, len(pairs)) for u, v in pairs]
-            yield pd.DataFrame(rows, columns=["lang", "word", "u", "v", "chains", "size"])
+                    for u, v in pairs:
+                        at.append(i)
+                        us.append(u)
+                        vs.append(v)
+                        chains.append(names)
+                        sizes.append(len(pairs))
+            rows = batch.select(["lang", "word"]).take(pa.array(at, pa.int64()))
+            for name, values, kind in (("u", us, pa.string()), ("v", vs, pa.string()), ("chains", chains, pa.list_(pa.string())), ("size", sizes, pa.int32())):
+                rows = rows.append_column(name, pa.array(values, kind))
+            yield rows
 
-    return aligned.mapInPandas(split, "lang string, word string, u string, v string, chains array<string>, size int")
+    return aligned.mapInArrow(split, "lang string, word string, u string, v string, chains array<string>, size int")
 
 
 def learn(vocab: DataFrame, frame: DataFrame, found: Study) -> None:
     """Puts the substitutions and transformations that twins show into the study."""
-    keyed = checkpointed(twin_keys(vocab, frame))
-    shown = checkpointed(substitutions(stripped_twins(keyed).unionByName(pattern_twins(keyed, found)), found))
+    keyed = stored(twin_keys(vocab, frame))
+    shown = stored(substitutions(stripped_twins(keyed).unionByName(pattern_twins(keyed, found)), found))
     # three letters of a word, or one stretch that is no letter, do not agree on a pair of encodings by chance
     named = (F.size("chains") > 0) & ((F.col("size") >= 3) | F.col("u").rlike(r"[^\p{L}]|(?s)..."))
     # pieces of stretches that a twin of other letters splits in the wrong place are no substitutions
@@ -434,7 +494,7 @@ def study(raw_freq: DataFrame) -> tuple[Study, DataFrame, DataFrame]:
     vocab = vocabulary(raw_freq)
     found = Study(study_letters(vocab))
     learn(vocab, found.frame(vocab), found)
-    clean = clean_words(vocab, found.frame(vocab))
+    clean = stored(clean_words(vocab, found.frame(vocab)))
     found.pairs = study_pairs(clean)
     return found, vocab, clean
 
@@ -485,7 +545,7 @@ def word_verdicts(words: DataFrame, found: Study, clean: DataFrame | None = None
     columns = ["lang", "word", "kind", "fixed", "mapping"]
     if clean is None:
         return judgements.select(columns)
-    judgements = checkpointed(judgements)
+    judgements = stored(judgements)
     letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}]", ""))
     opened = judgements.filter(F.col("rival").isNotNull()).withColumn("as_is", letters("fixed")).withColumn("undone", letters("rival"))
     for key in ("as_is", "undone"):
