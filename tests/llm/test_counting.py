@@ -118,3 +118,10 @@ def test_ranges_of_copies_ship_no_number(spark):
     assert "digest" not in below
     got = [(r.n, r.key, r.id) for r in done.selectExpr("xxhash64(tbl, file, key) n", "key", "id").collect()]
     assert got == sorted(got) and sorted(r[2] for r in got) == sorted(r[3] for r in rows)
+
+
+def test_left_out_words_are_no_copies(spark):
+    rows = [("raw_freq", "f", "k", 1, "rus", "x"), ("raw_freq", "f", "k", 2, None, None), ("raw_freq", "f", "k", 3, "rus", "y"), ("raw_freq", "f", "k", 4, "deu", "x")]
+    keyed = spark.createDataFrame(rows, "tbl string, file string, key string, id bigint, lang string, word string")
+    left_out = spark.createDataFrame([("rus", "x")], "lang string, word string")
+    assert {tuple(r) for r in format_copies.copies(keyed, left_out).collect()} == {("raw_freq", 2, 3), ("raw_freq", 2, 4)}
