@@ -125,3 +125,19 @@ def test_left_out_words_are_no_copies(spark):
     keyed = spark.createDataFrame(rows, "tbl string, file string, key string, id bigint, lang string, word string")
     left_out = spark.createDataFrame([("rus", "x")], "lang string, word string")
     assert {tuple(r) for r in format_copies.copies(keyed, left_out).collect()} == {("raw_freq", 2, 3), ("raw_freq", 2, 4)}
+
+
+def test_keys_are_not_made_again_to_leave_out_empty_ones(spark):
+    """Filters know words and lines by any sign that their bare form keeps; lines of signs alone keep their old keys."""
+    frame = _raw(spark, [(1, "dei_1.csv", None, 1, "Foo-bar", 2), (2, "dei_1.csv", None, 2, "!?", 2), (3, "dei_1.csv", None, 3, "é-", 2)])
+    words, _ = format_copies.word_keys(frame)
+    assert {(r.id, r.key) for r in words.collect()} == {(1, "2\x1ffoobar"), (3, "2\x1fé")}
+    assert not any("Filter" in row and "regexp_replace" in row for row in words._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    lines = ["|||", "///", ",,,", "a|b\x1f|c|Σ", "Word=a\x1f,year=ΑΣ,x,source=1,frequency=2", "b;a;;b|", "word:a\tyear : b/source=,frequency=C,", "x=word=1"]
+    rows = spark.createDataFrame([(i, "f", line) for i, line in enumerate(lines)], "line_id bigint, file string, line string")
+    keyed = format_copies.line_keys(rows)
+    assert {r.id: r.key for r in keyed.collect()} == {
+        0: "\x1f" * 3, 1: "\x1f" * 3, 3: "a\x1fb\x1f\x1fc\x1fσ", 4: "frequency=2\x1fsource=1\x1fword=a\x1f\x1fyear=ασx",
+        5: "\x1fa\x1fb\x1fb|", 6: "frequency=c\x1fsource=\x1fword=a\x1fyear=b", 7: "x=word=1",
+    }
+    assert any("Filter" in row and "RLIKE(line" in row for row in keyed._jdf.queryExecution().optimizedPlan().toString().split("\n"))

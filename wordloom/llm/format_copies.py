@@ -52,19 +52,50 @@ def word_keys(raw_freq: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # one row per language
     marked = rows.join(F.broadcast(frame), "lang", "left").withColumn("odd", F.coalesce(unusual(F.col("word"), capitals=True), F.lit(False)))
-    keyed = marked.withColumn("bare", bare_word(F.col("word"))).filter("bare <> ''")
+    # something is left of the word; its bare form would be made twice in a filter
+    keyed = marked.filter(F.col("word").rlike(_ANYTHING)).withColumn("bare", bare_word(F.col("word")))
     key = F.concat_ws(_SEP, F.col("frequency").cast("string"), "bare").alias("key")
     keyed = keyed.select(F.lit("raw_freq").alias("tbl"), "file", key, "id", *(F.when(F.col("odd"), F.col(c)).alias(c) for c in ("lang", "word")))
     return keyed, verdicts.filter(F.col("kind").isNotNull()).select("lang", "word")
 
 
-def line_key(line: Column) -> Column:
+#: Signs between the fields of a line without labels; the first that gives four fields counts.
+SIGNS = ("|", ";", "/", ",", "\t")
+_ANYTHING = r"[^\p{P}\p{IsWhite_Space}]"  # what ``bare`` leaves something of
+
+
+def _line_text(line: Column) -> Column:
+    return F.regexp_replace(line, r"\A\p{IsWhite_Space}+|[\p{IsWhite_Space}.,;]+\z", "")
+
+
+def _named_fields(text: Column) -> Column:
+    """The bare labelled fields of a text that begins with a label, after an empty one."""
+    label = rf"({'|'.join(LABELS)})\p{{IsWhite_Space}}*[=:]"
+    between = r"\p{IsWhite_Space}*[,;|/\t]\p{IsWhite_Space}*"
+    fields = F.split(bare(F.regexp_replace(text, rf"(?i)(?:\A|{between}){label}", f"{_SEP}$1=")), _SEP)
+    return F.when(text.rlike(rf"(?i)\A{label}"), fields)
+
+
+def line_key(text: Column, named: Column) -> Column:
     """The four fields of a line in one order, without labels, layout, case, white space and punctuation.
 
     Labelled fields are ordered by label, others by value. A line that has no four fields is its own
-    bare text.
+    bare text. Fields are made bare together: ``bare`` leaves the sign between them alone.
     """
-    text = F.regexp_replace(line, r"\A\p{IsWhite_Space}+|[\p{IsWhite_Space}.,;]+\z", "")
+    sign = F.lit(None).cast("string")
+    for ch in reversed(SIGNS):
+        sign = F.when(text.rlike(rf"\A(?:[^{ch}]*+[{ch}]){{3}}[^{ch}]*+\z"), ch).otherwise(sign)
+    by_value = F.split(bare(F.replace(text, sign, F.lit(_SEP))), _SEP)
+    together = F.coalesce(
+        F.when(F.size(named) == 5, F.array_join(F.array_sort(F.slice(named, 2, 4)), _SEP)),
+        F.array_join(F.array_sort(by_value), _SEP),
+        bare(text),
+    )
+    return F.when(text.contains(_SEP), _key_by_field(text)).otherwise(together)
+
+
+def _key_by_field(text: Column) -> Column:
+    """``line_key`` of a text that may hold the sign between bare fields: each field is made bare alone."""
     label = "|".join(LABELS)
     fields = F.split(text, rf"(?i)\p{{IsWhite_Space}}*[,;|/\t]\p{{IsWhite_Space}}*(?=(?:{label})\p{{IsWhite_Space}}*[=:])")
     named = F.transform(
@@ -77,8 +108,8 @@ def line_key(line: Column) -> Column:
     )
     is_named = text.rlike(rf"(?i)^(?:{label})\p{{IsWhite_Space}}*[=:]") & (F.size(fields) == 4)
     by_value = F.lit(None).cast("array<string>")
-    for sign in (r"\t", ",", "/", ";", r"\|"):  # the last that fits is tried first
-        parts = F.split(text, sign)
+    for sign in reversed(SIGNS):
+        parts = F.split(text, rf"[{sign}]")
         by_value = F.when(F.size(parts) == 4, F.transform(parts, bare)).otherwise(by_value)
     return F.coalesce(
         F.when(is_named, F.array_join(F.array_sort(named), _SEP)),
@@ -89,11 +120,12 @@ def line_key(line: Column) -> Column:
 
 def line_keys(raw_lines: DataFrame) -> DataFrame:
     """(tbl, file, key, id) of the lines that hold anything."""
-    return (
-        raw_lines.filter(F.col("line").isNotNull() & F.col("file").isNotNull())
-        .select(F.lit("raw_lines").alias("tbl"), "file", line_key(F.col("line")).alias("key"), F.col("line_id").alias("id"))
-        .filter("key <> ''")
-    )
+    lines = raw_lines.filter(F.col("line").isNotNull() & F.col("file").isNotNull())
+    # columns of their own, as they are needed several times
+    parts = lines.select("file", F.col("line_id").alias("id"), "line", _line_text(F.col("line")).alias("text")).withColumn("named", _named_fields(F.col("text")))
+    key = line_key(F.col("text"), F.col("named"))
+    # a filter makes the key again, so nearly all lines are known by any sign that is left of them
+    return parts.filter(F.col("line").rlike(_ANYTHING) | (key != "")).select(F.lit("raw_lines").alias("tbl"), "file", key.alias("key"), "id")
 
 
 #: Rows of one range of the sort.
