@@ -224,3 +224,34 @@ def test_letter_pairs_by_brute_force(spark):
             expected[code, pair] = expected.get((code, pair), 0) + 1
     got = encoding_repair.letter_pairs(spark.createDataFrame(words, "lang string, word string"))
     assert {(r.lang, r.pair): r.n for r in got.collect()} == expected
+
+
+def test_twin_keys_without_generated_rows(spark):
+    """Patterns are made of whole batches of words, their units are not listed."""
+    languages = spark.createDataFrame([("fra", "é", True, False, False), ("rus", "абвг", False, False, False)], "lang string, letters string, latin boolean, cased boolean, marks boolean")
+    words = [("fra", "bébé", 2), ("fra", "é", 1), ("fra", "a\u2028éb", 1), ("fra", "bÃ©b", 1), ("rus", "абаб", 3), ("rus", "àáàáàáàá", 1), ("rus", "абx", 1), ("rus", "аба", 1)]
+    keyed = encoding_repair.twin_keys(spark.createDataFrame(words, "lang string, word string, n bigint"), languages)
+    assert "Generate" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.word, r.clean, r.key, tuple(r.units or ()), r.width) for r in keyed.collect()} == {
+        ("bébé", True, "b\x01b\x01", ("é", "é"), 0), ("bÃ©b", False, "b\x01b", ("Ã©",), 0), ("абаб", True, "1,2,1,2", (), 1),
+        ("àáàáàáàá", False, "1,2,1,2,1,2,1,2", (), 1), ("àáàáàáàá", False, "1,1,1,1", (), 2),
+    }
+
+
+def test_originals_of_many_words_like_brute_force():
+    """All words of a batch at once: different lengths, unknown units, units of several signs, one bit for chains that do the same."""
+    draw = random.Random(4)
+    pairs = frozenset(a + b for a, b in itertools.product("^абвг", "абвг$") if draw.random() < 0.8)
+    shown = {c: {forms.garble(ch, c): None for ch in "абвгАБВГ"} for c in ("utf-8>cp1252", "cp1251>koi8-r", "cp866>cp1251")}
+    words = [tuple(draw.choice([u for u in shown[c] if u]) for _ in range(draw.randint(0, 5))) for c in shown for _ in range(60)] + [("☃", "à")]
+    expected = {}
+    for i, units in enumerate(words):
+        for letters in itertools.product("абвг", repeat=len(units)):
+            names = set(forms.chains("CYRILLIC")).intersection(*(forms.chains_of(u, v, "CYRILLIC") for u, v in zip(units, letters)))
+            text = "".join(letters)
+            legible = all(a + b in pairs for a, b in zip(f"^{text}", f"{text}$"))
+            if units and names and legible and text != "".join(units) and len(set(units)) == len(set(text)) == len(set(zip(units, letters))):
+                expected[i, text] = names
+    ways = forms.Originals("абвг", "CYRILLIC", pairs)
+    got = {(i, text): set(names.split("|")) for i, text, names in zip(*ways.of_all(words), strict=True)}
+    assert got == expected and len(got) > 50

@@ -24,6 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -113,7 +114,8 @@ def study_letters(vocab: DataFrame) -> dict[str, tuple[str, str]]:
     )
     signs = F.array_distinct(F.split(F.regexp_replace(F.lower("word"), r"[\x00-\x7F]+", ""), ""))
     # words of letters only tell about letters, and marks only where they stay marks
-    telling = F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").rlike(r"[^\x00-\x7F\p{L}\p{M}]|[ªº]")
+    # bytes and signs are as many in ASCII text
+    telling = (F.octet_length("word") != F.length("word")) & ~F.col("word").rlike(r"[^\x00-\x7F\p{L}\p{M}]|[ªº]")
     chars = (
         vocab.filter(telling & ~(F.col("word").rlike(r"\p{M}") & F.col("word").rlike(forms.COMPOSABLE)))
         .select("lang", "n", F.explode(signs).alias("ch"))
@@ -257,26 +259,55 @@ def _repairs(study: Study) -> _Repairs:
 # ---------------------------------------------------------------- twins
 
 
+#: Two ASCII letters with anything but the end of a line between them.
+_LETTERS = re.compile("[A-Za-z][^\n\r\x85\u2028\u2029]*[A-Za-z]")
+_NON_ASCII = re.compile("[^\x00-\x7f]+")
+#: Words with one of these have no pattern.
+_NO_PATTERN = re.compile("[\x00-\x7f\ufffd]")
+
+
+def _cut(word: str, width: int) -> str | list[str]:
+    """The units of a word."""
+    return word if width == 1 else [word[i : i + width] for i in range(0, len(word), width)]
+
+
 def twin_keys(vocab: DataFrame, frame: DataFrame) -> DataFrame:
     """(lang, word, n, clean, key, units, width): what a word may share with a twin, and its stretches beside that.
 
-    width: of the units of a pattern, else 0. A word with ASCII letters has its text without other signs as the key. A word without ASCII signs
+    width: of the units of a pattern, which are not listed, else 0. A word with ASCII letters has its text without other signs as the key. A word without ASCII signs
     has for each width the pattern in which its units repeat; clean words have units of one sign.
     """
-    word, clean = F.col("word"), F.col("clean")
+    word = F.col("word")
     # one row per language
     marked = vocab.filter(F.octet_length(word) != F.length(word)).join(F.broadcast(frame), "lang").withColumn("clean", _plain(word))
-    stripped = F.struct(F.regexp_replace(F.lower(word), r"[^\x00-\x7F]+", GAP).alias("key"), F.regexp_extract_all(word, F.lit(r"([^\x00-\x7F]+)")).alias("units"), F.lit(0).alias("width"))
-    patterns = []
-    for width in WIDTHS:
-        units = F.split(word, "") if width == 1 else F.regexp_extract_all(word, F.lit(rf"(?s)(.{{{width}}})"))
-        fits = (F.length(word) >= 4 * width) & (F.lit(True) if width == 1 else ~clean & (F.length(word) % width == 0))
-        patterns.append(F.when(fits, F.struct(units.alias("units"), F.lit(width).alias("width"))))
-    whole = F.filter(F.array(*patterns), lambda u: u.isNotNull())
-    pattern = lambda units: F.array_join(F.transform(units, lambda u: F.array_position(units, u).cast("string")), ",")
-    keyed = F.transform(whole, lambda p: F.struct(pattern(p["units"]).alias("key"), p["units"].alias("units"), p["width"].alias("width")))
-    keys = F.when(F.col("latin") & word.rlike("[A-Za-z].*[A-Za-z]"), F.array(stripped)).when(~F.col("latin") & ~word.rlike(r"[\x00-\x7F\x{fffd}]"), keyed)
-    return marked.select("lang", "word", "n", "clean", F.explode(keys).alias("k")).select("lang", "word", "n", "clean", "k.key", "k.units", "k.width")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = [str(i) for i in range(1, 1000)]
+        for batch in batches:
+            at, keys, units, widths = [], [], [], []
+            for i, (text, clean, latin) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("word", "clean", "latin")), strict=True)):
+                if latin:
+                    if _LETTERS.search(text):
+                        at.append(i)
+                        keys.append(_NON_ASCII.sub(GAP, text.lower()))
+                        units.append(_NON_ASCII.findall(text))
+                        widths.append(0)
+                elif not _NO_PATTERN.search(text):
+                    size = len(text)
+                    for width in WIDTHS:
+                        if size >= 4 * width and (width == 1 or not clean and size % width == 0):
+                            parts = _cut(text, width)
+                            at.append(i)
+                            keys.append(",".join([places[n] if (n := parts.index(u)) < 999 else str(n + 1) for u in parts]))
+                            units.append(None)
+                            widths.append(width)
+            rows = batch.select(["lang", "word", "n", "clean"]).take(pa.array(at, pa.int64()))
+            for name, values, kind in (("key", keys, pa.string()), ("units", units, pa.list_(pa.string())), ("width", widths, pa.int32())):
+                rows = rows.append_column(name, pa.array(values, kind))
+            yield rows
+
+    schema = "lang string, word string, n bigint, clean boolean, key string, units array<string>, width int"
+    return marked.select("lang", "word", "n", "clean", "latin").mapInArrow(keyed, schema)
 
 
 def stripped_twins(keyed: DataFrame) -> DataFrame:
@@ -309,15 +340,18 @@ def pattern_twins(keyed: DataFrame, found: Study) -> DataFrame:
     def undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways: dict[str, forms.Originals] = {}
         for batch in batches:
+            words: dict[str, list[int]] = defaultdict(list)  # of each language
+            columns = [batch.column(c).to_pylist() for c in ("lang", "word", "width")]
+            for i, code in enumerate(columns[0]):
+                words[code].append(i)
             at, texts, chains = [], [], []
-            for i, (code, word, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "width")), strict=True)):
+            for code, own in words.items():
                 if code not in ways:
                     ways[code] = forms.Originals(letters[code], scripts[code], frozenset(legible.get(code, ())))
-                units = word if width == 1 else [word[j : j + width] for j in range(0, len(word), width)]
-                for text, names in ways[code].of(units).items():
-                    at.append(i)
-                    texts.append(text)
-                    chains.append(names)
+                which, made, names = ways[code].of_all([_cut(columns[1][i], columns[2][i]) for i in own])
+                at += [own[i] for i in which]
+                texts += made
+                chains += names
             rows = batch.take(pa.array(at, pa.int64()))
             yield rows.append_column("text", pa.array(texts, pa.string())).append_column("chains", pa.array(chains, pa.string()))
 
@@ -337,18 +371,60 @@ def pattern_twins(keyed: DataFrame, found: Study) -> DataFrame:
     return pairs.select("lang", "word", "clean", wrong.alias("wrong"), F.split("text", "").alias("right"), "may")
 
 
+#: Different signs by place of a pattern that a task collects before it hands them on.
+PLACES_KEPT = 200_000
+
+
 def open_votes(keyed: DataFrame, frame: DataFrame) -> DataFrame:
     """(lang, u, v, parts): what signs that are no letters may stand for by all twins of the same pattern, whatever encodings make.
 
     Twins with many letters at the place of a sign tell little about it: a word's vote counts 1 / letters
-    and is split between them. Letters are counted for each place of a pattern, so no pairs are made.
+    and is split between them. Letters are counted for each place of a pattern, so no pairs are made, and in
+    each task before they are handed on.
     """
-    whole = keyed.filter(~F.col("key").contains(GAP))
-    placed = whole.select("lang", "key", "clean", F.posexplode(F.array_distinct("units")).alias("at", "u"))
+    whole = keyed.filter(~F.col("key").contains(GAP)).select("lang", "word", "clean", "key")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str, int, dict[str, int]]]]:
+        """Language, pattern, place and the units there with their words; a pattern may come again."""
+        kept: dict[tuple[str, str], list[dict[str, int]]] = {}
+        size = 0
+        for batch in batches:
+            for code, word, key in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "key")), strict=True):
+                different = dict.fromkeys(_cut(word, len(word) // (key.count(",") + 1)))
+                places = kept.get((code, key))
+                if places is None:
+                    places = kept[code, key] = [{} for _ in different]
+                for counts, u in zip(places, different, strict=True):
+                    if u in counts:
+                        counts[u] += 1
+                    else:
+                        counts[u] = 1
+                        size += 1
+            if size >= PLACES_KEPT:
+                yield [(*of, i, counts) for of, places in kept.items() for i, counts in enumerate(places)]
+                kept.clear()
+                size = 0
+        yield [(*of, i, counts) for of, places in kept.items() for i, counts in enumerate(places)]
+
+    def letters_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in placed(batches):
+            langs, keys, at, counts = zip(*rows, strict=True) if rows else ((),) * 4
+            columns = ((langs, pa.string()), (keys, pa.string()), (at, pa.int32()), ([list(c) for c in counts], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["lang", "key", "at", "vs"])
+
+    def units_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in placed(batches):
+            split = [(code, key, i, u, n) for code, key, i, counts in rows for u, n in counts.items()]
+            columns = zip(*split, strict=True) if split else ((),) * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "key", "at", "u", "words"])
+
+    words = whole.filter(~F.col("clean")).mapInArrow(units_at, "lang string, key string, at int, u string, words bigint")
     # one row per language
-    words = placed.filter(~F.col("clean")).join(F.broadcast(frame), "lang").filter(_residue(F.col("u")) != "")
-    words = words.groupBy("lang", "key", "at", "u").agg(F.count(F.lit(1)).alias("words"))
-    letters = placed.filter("clean").groupBy("lang", "key", "at").agg(F.collect_set("u").alias("vs"))  # letters of a language at most
+    words = words.join(F.broadcast(frame), "lang").filter(_residue(F.col("u")) != "")
+    words = words.groupBy("lang", "key", "at", "u").agg(F.sum("words").alias("words"))
+    letters = whole.filter("clean").mapInArrow(letters_at, "lang string, key string, at int, vs array<string>")
+    letters = letters.groupBy("lang", "key", "at").agg(F.array_distinct(F.flatten(F.collect_list("vs"))).alias("vs"))  # letters of a language, from each task at most
     share = F.floor(F.col("words") * PARTS / F.size("vs") / F.size("vs"))
     split = words.join(letters, ["lang", "key", "at"]).select("lang", "u", share.alias("parts"), F.explode("vs").alias("v"))
     return split.groupBy("lang", "u", "v").agg(F.sum("parts").alias("parts"))

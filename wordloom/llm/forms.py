@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import regex
 
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
@@ -374,77 +375,125 @@ def common_chains(pairs: list[tuple[str, str]], script_name: str) -> list[str]:
     return sorted(common or ())
 
 
-#: What so many first units of a word may have been is kept for other words that begin so.
-HEAD = 4
+#: Units (words by the longest of them) that are looked at together.
+UNITS_AT_ONCE = 100_000
 
 
 class Originals:
     """The texts of a language's letters that a chain shows as given units.
 
-    ``legible``: the letter pairs (^ and $ are the ends) that a text may have.
+    ``legible``: the letter pairs (^ and $ are the ends) that a text may have. Sets of chains are bits in columns of 64.
     """
 
     def __init__(self, letters: str, script_name: str, legible: frozenset[str]) -> None:
-        self._chains, self._legible = chains(script_name), legible
-        bits = {chain: 1 << i for i, chain in enumerate(self._chains)}
-        self._shown: dict[str, list[tuple[str, int]]] = {}  # unit -> (letter, bits of the chains that show it so)
-        self._any: dict[str, int] = {}  # unit -> bits of the chains that show some letter so
-        for letter in sorted(set(letters)):
+        self._chains, own = chains(script_name), sorted(set(letters))
+        self._codes = np.array([ord(ch) for ch in own], "<u4")
+        at = {ch: i for i, ch in enumerate(own)} | {"^": len(own), "$": len(own)}
+        self._legible = np.zeros((len(own) + 1, len(own) + 1), bool)
+        for before, after in legible:
+            if before in at and after in at:
+                self._legible[at[before], at[after]] = True
+        shown: dict[str, list[tuple[int, frozenset[str]]]] = {}  # unit -> (letter, the chains that show it so)
+        for letter in own:
             for unit, names in _made_of(letter, script_name).items():
-                also = sum(bits[name] for name in names)
-                self._shown.setdefault(unit, []).append((letter, also))
-                self._any[unit] = self._any.get(unit, 0) | also
-        self._after: dict[str, dict[str, list[tuple[str, int]]]] = {unit: {} for unit in self._shown}  # unit -> letter before -> legible letters
-        self._begun: dict[Sequence[str], list[tuple[str, str, int]]] = {}
-        self._names: dict[int, str] = {}
+                shown.setdefault(unit, []).append((at[letter], names))
+        self._ids = {unit: i for i, unit in enumerate(shown, 1)}  # 0: a unit that no chain makes
+        options = [(i, *way) for i, ways in enumerate(shown.values(), 1) for way in ways]
+        unit, letter = (np.array([way[i] for way in options], np.int64) for i in (0, 1))
+        # chains that make the same of all letters share a bit
+        makes: dict[str, list[int]] = {chain: [] for chain in self._chains}
+        for i, (*_, names) in enumerate(options):
+            for name in names:
+                makes[name].append(i)
+        alike: dict[tuple[int, ...], int] = {}
+        self._bit = {chain: alike.setdefault(tuple(made), len(alike)) for chain, made in makes.items() if made}
+        self._columns = max(1, -(-len(alike) // 64))
+        also = np.zeros((self._columns, len(options)), np.uint64)
+        for made, bit in alike.items():
+            also[bit >> 6, list(made)] |= np.uint64(1 << (bit & 63))
+        # by letter before and unit, the legible letters
+        before, option = np.nonzero(self._legible[:, letter])
+        self._letter, self._also = letter[option].astype(np.int16), also[:, option]
+        of = before * (len(shown) + 1) + unit[option]
+        self._many = np.bincount(of, minlength=(len(own) + 1) * (len(shown) + 1))
+        self._first = np.cumsum(self._many) - self._many
+        self._any = np.zeros((self._columns, len(shown) + 1), np.uint64)
+        for column, bits in zip(self._any, also, strict=True):
+            np.bitwise_or.at(column, unit, bits)
+        self._names: dict[tuple[int, ...], str] = {}
 
     def of(self, units: Sequence[str]) -> dict[str, str]:
         """All other texts of one letter for each unit, different ones for different units -> the chains, with | between."""
-        units = units if isinstance(units, str) else tuple(units)
-        names, any_of = -1, self._any
-        for unit in units:  # the chains that are left for all units
-            names &= any_of.get(unit, 0)
-            if not names:
-                return {}
-        texts = [(text, last, left) for text, last, chains in self._begin(units[:HEAD]) if (left := chains & names)]
-        for unit in units[HEAD:]:
-            if not texts:
-                return {}
-            texts = self._longer(texts, unit)
-        word, size = "".join(units), len(set(units))
-        return {
-            text: self._named(names)
-            for text, last, names in texts
-            if last + "$" in self._legible and text != word and len(set(text)) == size == len(set(zip(units, text)))
-        }
-
-    def _begin(self, units: Sequence[str]) -> list[tuple[str, str, int]]:
-        """(text, last letter, bits of its chains) of the first units of words, which many words share."""
-        texts = self._begun.get(units)
-        if texts is None:
-            if len(self._begun) >= 100_000:
-                self._begun.clear()
-            texts = self._longer(self._begin(units[:-1]), units[-1]) if units else [("", "^", -1)]
-            self._begun[units] = texts
-        return texts
-
-    def _longer(self, texts: list[tuple[str, str, int]], unit: str) -> list[tuple[str, str, int]]:
-        known, longer = self._after[unit], []
-        for text, last, names in texts:
-            after = known.get(last)
-            if after is None:
-                after = [(letter, also) for letter, also in self._shown[unit] if last + letter in self._legible]
-                known[last] = after
-            for letter, also in after:
-                left = names & also
-                if left:
-                    longer.append((text + letter, letter, left))
-        return longer
-
-    def _named(self, bits: int) -> str:
-        if bits not in self._names:
-            self._names[bits] = "|".join(chain for i, chain in enumerate(self._chains) if bits >> i & 1)
-        return self._names[bits]
+        _, texts, names = self.of_all([units])
+        return dict(zip(texts, names, strict=True))
+
+    def of_all(self, words: Sequence[Sequence[str]]) -> tuple[list[int], list[str], list[str]]:
+        """The number of a word, one of its texts as in ``of``, the chains."""
+        out: tuple[list[int], list[str], list[str]] = [], [], []
+        some: list[int] = []
+        for i in sorted((i for i, word in enumerate(words) if len(word)), key=lambda i: len(words[i])):
+            if some and (len(some) + 1) * len(words[i]) > UNITS_AT_ONCE:
+                self._look_up(words, some, out)
+                some = []
+            some.append(i)
+        if some:
+            self._look_up(words, some, out)
+        return out
+
+    def _look_up(self, words: Sequence[Sequence[str]], some: list[int], out: tuple[list[int], list[str], list[str]]) -> None:
+        """Adds the texts of some words: all of them grow by a letter at a time."""
+        ids = [[self._ids.get(u, 0) for u in words[i]] for i in some]
+        sizes = np.array([len(units) for units in ids])
+        longest = int(sizes.max())
+        units = np.zeros((len(some), longest), np.int64)
+        inner = np.arange(longest) < sizes[:, None]
+        units[inner] = [u for of in ids for u in of]
+        names = [np.full(len(some), ~np.uint64(0)) for _ in self._any]
+        for j in range(longest):  # the chains that are left for all units
+            for column, of in zip(names, self._any, strict=True):
+                column &= np.where(inner[:, j], of[units[:, j]], ~np.uint64(0))
+        word = np.flatnonzero(functools.reduce(np.bitwise_or, names))
+        names, last = [column[word] for column in names], np.full(len(word), len(self._codes), np.int16)
+        text = np.zeros((len(word), longest), np.int16)
+        for j in range(longest):
+            if not len(word):
+                break
+            of = last.astype(np.int64) * self._any.shape[1] + units[word, j]
+            many = self._many[of]
+            grown = np.repeat(np.arange(len(word)), many)
+            option = np.arange(len(grown)) + np.repeat(self._first[of] - np.cumsum(many) + many, many)
+            left = [column[grown] & also[option] for column, also in zip(names, self._also, strict=True)]
+            made = np.flatnonzero(functools.reduce(np.bitwise_or, left))
+            grown, last, names = grown[made], self._letter[option[made]], [column[made] for column in left]
+            word, text = word[grown], text[grown]
+            text[:, j] = last
+            over = sizes[word] == j + 1
+            if over.any():
+                ends = np.flatnonzero(over & self._legible[last, len(self._codes)])
+                self._put(words, some, word[ends], text[ends, : j + 1], [column[ends] for column in names], out)
+                rest = np.flatnonzero(~over)
+                word, text, last, names = word[rest], text[rest], last[rest], [column[rest] for column in names]
+
+    def _put(self, words: Sequence[Sequence[str]], some: list[int], word: np.ndarray, text: np.ndarray, names: list[np.ndarray], out: tuple[list[int], list[str], list[str]]) -> None:
+        """Adds the texts that have different letters for different units and the same for the same."""
+        different, which = np.unique(word, return_inverse=True)
+        units = np.array([[words[some[w]].index(u) for u in words[some[w]]] for w in different.tolist()], np.int16 if text.shape[1] < 1 << 15 else np.int64)
+        units = units.reshape(-1, text.shape[1])[which]
+        fits, row = np.ones(len(word), bool), np.arange(len(word))
+        unit_of, letter_of = np.full((len(self._codes), len(word)), -1, units.dtype), np.full(units.T.shape, -1, np.int16)
+        for u, v in zip(np.ascontiguousarray(units.T), np.ascontiguousarray(text.T), strict=True):
+            known, shown = letter_of[u, row], unit_of[v, row]
+            fits &= ((known < 0) | (known == v)) & ((shown < 0) | (shown == u))
+            letter_of[u, row], unit_of[v, row] = v, u
+        texts = np.ascontiguousarray(self._codes[text[fits]]).view(f"<U{text.shape[1]}").ravel().tolist()
+        for w, made, bits in zip(word[fits].tolist(), texts, zip(*(column[fits].tolist() for column in names), strict=True), strict=True):
+            i = some[w]
+            if made != "".join(words[i]):
+                if bits not in self._names:
+                    self._names[bits] = "|".join(chain for chain, n in self._bit.items() if bits[n >> 6] >> (n & 63) & 1)
+                out[0].append(i)
+                out[1].append(made)
+                out[2].append(self._names[bits])
 
 
 def substituted(wrong: list[str], right: list[str]) -> list[tuple[str, str]]:
